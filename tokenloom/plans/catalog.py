@@ -1,6 +1,6 @@
 """All reports, in the order of their areas."""
 
-from . import ledger  # noqa: F401
+from . import issuance, ledger  # noqa: F401
 from .registry import REPORTS
 
 __all__ = ["REPORTS"]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.frames import plain_numbers
 from ..sources.canonical import Tables
@@ -37,6 +38,11 @@ def report(name: str, sql: str | None = None):
     return wrap
 
 
+def rnd(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    """Round sums of doubles, whose last bits depend on the order of addition."""
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in cols})
+
+
 def _addr(x: str) -> str:
     return f"'0x' || lpad(cast({x} + 1 as varchar), 8, '0')"
 
@@ -118,6 +124,18 @@ VIEWS: dict[str, tuple[str, str]] = {
                c_mktsegment as name from customer"""),
     "products": ("", _values(PRODUCTS, "symbol name kind inception venue base", ("inception",))),
     "fees": ("", _values(FEES, "symbol partner begin_date end_date streaming_fee issue_fee redeem_fee partner_split", ("begin_date", "end_date"))),
+    "ev_issuance": ("ev", """
+        select ts, day, tx_hash, pool as symbol, address as wallet, value as amount,
+               case when event_type = 'error' then 'Redeem' else 'Issue' end as evt_type
+        from ev where event_type in ('purchase', 'signup', 'error')"""),
+    "swaps": ("ev", """
+        select event_id, ts, day, block, idx, tx_hash, pool, address, event_type, date_trunc('hour', ts) as hour, value as amount0, k as amount1
+        from ev where event_type in ('view', 'click')"""),
+    "base_minutes": ("ev", """
+        select case when event_type = 'signup' then 'B0' else 'B1' end as symbol, date_trunc('minute', ts) as minute, value as price
+        from ev where event_type in ('signup', 'purchase')"""),
+    "event_hours": ("", """
+        select h as hour from generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 hour) g(h)"""),
     "event_days": ("", """
         select cast(d as date) as day from generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day) g(d)"""),
     "order_days": ("", """

@@ -79,6 +79,27 @@ class Tables:
             ratio4(F.sum("value"), F.count(F.lit(1))).alias("price")
         )
 
+    @cached_property
+    def ev_issuance(self) -> DataFrame:
+        """Issue and redeem events of the events family, with the module's use type."""
+        kind = F.when(F.col("event_type") == "error", F.lit("Redeem")).otherwise(F.lit("Issue"))
+        rows = self.of_type("purchase", "signup", "error")
+        return rows.select("ts", "day", "tx_hash", F.col("pool").alias("symbol"), F.col("address").alias("wallet"), F.col("value").alias("amount"), kind.alias("evt_type"))
+
+    @cached_property
+    def swaps(self) -> DataFrame:
+        """Pool swaps: ``value`` of the product against ``k`` of the base asset."""
+        return self.of_type("view", "click").select(
+            "event_id", "ts", "day", "block", "idx", "tx_hash", "pool", "address", "event_type",
+            F.date_trunc("hour", "ts").alias("hour"), F.col("value").alias("amount0"), F.col("k").alias("amount1"),
+        )
+
+    @cached_property
+    def base_minutes(self) -> DataFrame:
+        """Minute prices of two base assets."""
+        sym = F.when(F.col("event_type") == "signup", F.lit("B0")).otherwise(F.lit("B1"))
+        return self.of_type("signup", "purchase").select(sym.alias("symbol"), F.date_trunc("minute", "ts").alias("minute"), F.col("value").alias("price"))
+
     def of_type(self, *types: str) -> DataFrame:
         return self.ev.where(F.col("event_type").isin(*types))
 
