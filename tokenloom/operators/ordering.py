@@ -106,7 +106,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float = 0.
             F.max(F.col("_h") - F.col("_lo")).alias("_f"),
         )
     )
-    return picked.select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias(out))
+    return picked.select(*keys, (F.col("_a") * (F.lit(1.0) - F.col("_f")) + F.col("_z") * F.col("_f")).alias(out))
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:

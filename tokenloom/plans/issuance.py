@@ -306,13 +306,15 @@ def _(t):
     x as (select token, day, cast(p as double) / nullif(cast(u as double), 0) as r, u, p from s where base in ('B0', 'B1') and token in ('P0', 'P2', 'P3', 'P4')),
     a as (select token, day, count(*) as num_trades, min(r) as min_price, avg(r) as av, cast(sum(p) as double) / nullif(cast(sum(u) as double), 0) as vwap,
                  max(r) as max_price, stddev(r) as sdv from x group by all)
-    select token, day, num_trades, min_price, round(av, 4) as avg_price, vwap, max_price, round(sdv, 4) as sd,
-           round(av - sdv, 4) as sd_below, round(av + sdv, 4) as sd_above from a"""))
+    select token, day, num_trades, min_price, round(av + 1e-9::double, 4) as avg_price, vwap, max_price, round(sdv + 1e-9::double, 4) as sd,
+           round(av - sdv + 1e-9::double, 4) as sd_below, round(av + sdv + 1e-9::double, 4) as sd_above from a"""))
 def _(t):
     listed = t.spark.range(1).select(split_list(F.lit("p0, P2 ,p3,P4")).alias("x"))
     tokens = listed.select(F.upper("x").alias("token"))
     out = P.trade_volatility(t.trades, tokens, ["B0", "B1"])
-    return rnd(out, 4, "avg_price", "sd", "sd_below", "sd_above")
+    cols = ["avg_price", "sd", "sd_below", "sd_above"]
+    # prices are short decimals: the shift keeps exact halves from rounding both ways
+    return rnd(out.withColumns({c: F.col(c) + F.lit(1e-9) for c in cols}), 4, *cols)
 
 
 @report("j15_aum", sql("units prices", """,
