@@ -1,6 +1,6 @@
 """All reports, in the order of their areas."""
 
-from . import issuance, ledger  # noqa: F401
+from . import ledger, issuance, liquidity, cohorts  # noqa: F401, I001
 from .registry import REPORTS
 
 __all__ = ["REPORTS"]
