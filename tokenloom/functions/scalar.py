@@ -69,7 +69,7 @@ def category_of(title: Column | str, rules: Sequence[tuple[str, str]], otherwise
     """First rule whose text occurs in the title gives the category."""
     out: Column | None = None
     for needle, label in rules:
-        hit = F.lower(col(title)).contains(needle)
+        hit = col(title).contains(needle)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise(otherwise)
 

@@ -116,3 +116,23 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
     a month); use :func:`exact_quantile` for trades or balances.
     """
     return df.groupBy(*keys).agg(F.percentile(dbl(value), F.lit(0.5)).alias(out))
+
+
+def grouped_scan(
+    df: DataFrame, keys: Sequence[str], order: Order, sums: Mapping[str, str] | None = None, position: str = "position", ranges: int | None = None
+) -> DataFrame:
+    """:func:`ordered_scan` with positions and sums that start anew in each group.
+
+    The group's start is taken off per (range, key) piece, so rows of a hot
+    group stay spread over its ranges.
+    """
+    sums = dict(sums or {})
+    scan = ordered_scan(df, [(k, False) for k in keys] + list(order), sums, position, ranges, keep_range=True)
+    before = [(F.col(o) - F.coalesce(F.col(c), F.lit(0))).alias(f"_b_{o}") for o, c in sums.items()]
+    start = F.min_by(F.struct((F.col(position) - 1).alias("_b_pos"), *before), position)
+    pieces = scan.groupBy("_range", *keys).agg(start.alias("_s"))
+    groups = pieces.groupBy(*keys).agg(F.min_by("_s", "_s._b_pos").alias("_g"))
+    facts = pieces.select("_range", *keys).join(groups, list(keys))
+    j = scan.join(facts, ["_range", *keys])
+    fixed = {position: F.col(position) - F.col("_g._b_pos")} | {o: F.col(o) - F.col(f"_g._b_{o}") for o in sums}
+    return j.withColumns(fixed).drop("_g", "_range")
