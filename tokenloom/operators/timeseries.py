@@ -53,9 +53,9 @@ def fill_by_group(df: DataFrame, part: Keys, order: str, value: str, out: str) -
 
 
 def step_intervals(df: DataFrame, part: Keys, day: str, as_of: str, end: str = "next_day") -> DataFrame:
-    """Attach the day from which the row is no longer valid (exclusive)."""
+    """Attach the day from which the row is no longer valid (exclusive); rows after ``as_of`` go."""
     stop = F.date_add(F.lit(as_of).cast("date"), 1)
-    return df.withColumn(end, W.following(day, part, day, stop))
+    return df.where(F.col(day) < stop).withColumn(end, W.following(day, part, day, stop))
 
 
 def expand_intervals(df: DataFrame, start: str, end: str, name: str) -> DataFrame:

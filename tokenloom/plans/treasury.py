@@ -142,7 +142,7 @@ define_view("srew", "smoves apr event_days", """
     with c as (select address, day, sum(amount) as c from smoves group by all),
     b as (select address, day, sum(c) over (partition by address order by day) as balance,
                  lead(day, 1, date '2024-02-01') over (partition by address order by day) as nxt from c),
-    a as (select b.address, d.day, balance, reward_per_lp from b join event_days d on d.day >= b.day and d.day < nxt join apr on apr.day = d.day)
+    a as (select b.address, d.day, b.balance, reward_per_lp from b join event_days d on d.day >= b.day and d.day < nxt join apr on apr.day = d.day)
     select address, arg_max(balance, day) as balance, count(*) filter (where balance > 0) as days_earned,
            sum(cast(balance as double) * coalesce(reward_per_lp, 0)) as rewards_earned from a group by address""")
 define_view("sbeh", "srew transfers", f"""
