@@ -12,13 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..functions.frames import stack
 from ..functions.scalar import ZERO, band, dbl, month_label, safe_div
-from .joins import running_total
 from .ledger import HOLDER, exclude_contracts, flag_bots, signed_ledger
 from .timeseries import densify
 
@@ -46,15 +45,36 @@ def without_bots(moves: DataFrame) -> DataFrame:
     return moves.join(flag_bots(moves, HOLDER), HOLDER, "left_anti")
 
 
-def cohorts(moves: DataFrame, bands=BANDS, lowest: str = LOWEST) -> DataFrame:
+def holder_days(moves: DataFrame) -> DataFrame:
+    """One row per holder and active day: net change, moves, and the highest running amount inside the day.
+
+    Rows inside a day are ordered per (holder, day), so even a holder with a
+    large part of all moves is split over its days.
+    """
+    steps = moves.groupBy(*HOLDER, "day", "ts").agg(F.sum("amount").alias("a"), F.count(F.lit(1)).alias("n"))
+    inside = steps.withColumn("_p", W.running_sum("a", [*HOLDER, "day"], "ts"))
+    per = inside.groupBy(*HOLDER, "day").agg(F.sum("a").alias("change"), F.sum("n").alias("moves"), F.max("_p").alias("_high"))
+    before = F.coalesce(W.running_sum("change", HOLDER, "day") - F.col("change"), F.lit(0))
+    return per.withColumns({"running": W.running_sum("change", HOLDER, "day"), "high": before + F.col("_high")}).drop("_high")
+
+
+def _tagged(days: DataFrame, drop_bots: bool, bands=BANDS, lowest: str = LOWEST) -> DataFrame:
+    """Holder days with cohort columns, by windows on the holder partition the running sums already use."""
+    w = Window.partitionBy(*HOLDER)
+    bot = F.max(F.when((dbl("change") <= 1e-14) & (F.col("moves") >= 2), 1).otherwise(0)).over(w)
+    rows = days.withColumns({"_bot": bot, "start_dt": F.min("day").over(w), "_peak": F.max("high").over(w)})
+    if drop_bots:
+        rows = rows.where("_bot = 0")
+    return rows.withColumns({"cohort": month_label("start_dt"), "exposure": band("_peak", bands, lowest)}).drop("_bot", "_peak")
+
+
+def cohorts(moves: DataFrame, drop_bots: bool = False, bands=BANDS, lowest: str = LOWEST) -> DataFrame:
     """First day, month label and exposure band (by the highest running amount) of each holder."""
-    steps = moves.groupBy(*HOLDER, "day", "ts").agg(F.sum("amount").alias("amount"))
-    run = running_total(steps, HOLDER, ["ts"], "amount", "running", F.col("day"))
-    c = run.groupBy(*HOLDER).agg(F.min("day").alias("start_dt"), F.max("running").alias("peak"))
-    return c.select(*HOLDER, "start_dt", month_label("start_dt").alias("cohort"), band("peak", bands, lowest).alias("exposure"))
+    tagged = _tagged(holder_days(moves), drop_bots, bands, lowest)
+    return tagged.where(F.col("day") == F.col("start_dt")).select(*HOLDER, "start_dt", "cohort", "exposure")
 
 
-def exposure_intervals(moves: DataFrame, as_of: str, frac: float | None = 0.75, exclude_current: bool = False) -> DataFrame:
+def exposure_intervals(moves: DataFrame, as_of: str, frac: float | None = 0.75, drop_bots: bool = True, exclude_current: bool = False) -> DataFrame:
     """Intervals of constant exposure with cohort columns, cut at the cohort's mature days.
 
     ``lo`` / ``hi`` are 1-based day numbers since the holder's first day (hi is
@@ -62,35 +82,23 @@ def exposure_intervals(moves: DataFrame, as_of: str, frac: float | None = 0.75,
     moved on the first day of the interval. ``frac`` keeps day numbers up to
     the rounded share of the oldest holder's day number.
     """
-    c = cohorts(moves)
-    if exclude_current:
-        c = c.where(F.col("cohort") != month_label(F.lit(as_of).cast("date")))
     end = F.date_add(F.lit(as_of).cast("date"), 1)
-    daily = moves.where(F.col("day") < end).groupBy(*HOLDER, "day").agg(F.sum("amount").alias("change"))
-    steps = daily.withColumns({
-        "running": W.running_sum("change", HOLDER, "day"),
-        "previous": F.coalesce(W.running_sum("change", HOLDER, "day") - F.col("change"), F.lit(0)),
-        "until": W.following("day", HOLDER, "day", end),
-    })
-    j = steps.join(c, HOLDER)
+    days = holder_days(moves.where(F.col("day") < end))
+    rows = _tagged(days, drop_bots).withColumn("until", W.following("day", HOLDER, "day", end))
+    if exclude_current:
+        rows = rows.where(F.col("cohort") != month_label(F.lit(as_of).cast("date")))
+    lo, hi = F.datediff("day", "start_dt") + 1, F.datediff("until", "start_dt") + 1
     if frac is None:
-        limit = None
-    else:
-        oldest = c.groupBy("token", "cohort").agg(F.min("start_dt").alias("_s"))
-        days = F.datediff(end, F.col("_s"))
-        limit = oldest.select("token", "cohort", F.round(days * F.lit(float(frac)), 0).cast("int").alias("include_days"))
-        j = j.join(limit, ["token", "cohort"])
-    lo = F.datediff("day", "start_dt") + 1
-    hi = F.datediff("until", "start_dt") + 1
-    if limit is None:
-        out = j.withColumns({"lo": lo, "hi": hi})
+        out = rows.withColumns({"lo": lo, "hi": hi})
     else:
+        oldest = rows.groupBy("token", "cohort").agg(F.min("start_dt").alias("_s"))  # tokens x months
+        keep = F.round(F.datediff(end, F.col("_s")) * F.lit(float(frac)), 0).cast("int")
+        limit = oldest.select("token", "cohort", keep.alias("include_days"))
         out = (
-            j.withColumns({"lo": lo, "hi": F.least(hi, F.col("include_days") + 1)})
-            .where(F.col("lo") < F.col("hi"))
-            .withColumn("until", F.date_add("start_dt", F.col("hi") - 1))
+            rows.join(limit, ["token", "cohort"]).withColumns({"lo": lo, "hi": F.least(hi, F.col("include_days") + 1)})
+            .where(F.col("lo") < F.col("hi")).withColumn("until", F.date_add("start_dt", F.col("hi") - 1))
         )
-    return out.select(*HOLDER, "cohort", "exposure", "start_dt", "day", "until", "lo", "hi", "change", "previous", "running")
+    return out.select(*HOLDER, "cohort", "exposure", "start_dt", "day", "until", "lo", "hi", "change", "running")
 
 
 def level(iv: DataFrame, group: Keys, start: str, end: str, measures: dict[str, Column], axis: str) -> DataFrame:
@@ -111,9 +119,9 @@ def level(iv: DataFrame, group: Keys, start: str, end: str, measures: dict[str,
     return nxt.select(*group, F.explode(steps).alias(axis), *measures)
 
 
-def user_base(moves: DataFrame, as_of: str, frac: float | None = 0.75) -> DataFrame:
+def user_base(moves: DataFrame, as_of: str, frac: float | None = 0.75, drop_bots: bool = True) -> DataFrame:
     """One row per holder and day since the first: amount, running amount, day number, retained flag."""
-    iv = exposure_intervals(moves, as_of, frac)
+    iv = exposure_intervals(moves, as_of, frac, drop_bots)
     n = F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))
     rows = iv.select(*HOLDER, "cohort", "exposure", "start_dt", "lo", "change", F.col("running").alias("running_amount"), n.alias("day"))
     return rows.select(

@@ -101,7 +101,7 @@ def buys_sells(trades: DataFrame, price: DataFrame, products: Sequence[str]) ->
         F.struct(F.lit("sell").alias("way"), F.col("token_b").alias("symbol"), F.col("amount_b").alias("amount")),
     )
     rows = trades.select(*key, F.explode(side).alias("s")).select(*key, "s.way", "s.symbol", "s.amount").where(F.col("symbol").isin(*products))
-    once = rows.groupBy(*key, "way", "symbol").agg(F.min("amount").alias("amount"))
+    once = rows.distinct()
     buy, sell = F.col("way") == "buy", F.col("way") == "sell"
     day = once.groupBy("symbol", "day").agg(
         count_if(buy).alias("buys"), count_if(sell).alias("sells"),

@@ -38,21 +38,24 @@ def either_side_join(
 ) -> DataFrame:
     """Price a two-sided trade by whichever side has a price in its time bucket.
 
-    An OR condition cannot be hashed; the two sides become two rows with one
-    equality key each. Side a wins where both are priced. ``prices`` holds
-    (bucket, symbol, price).
+    An OR condition cannot be hashed, so each side is joined by equality and
+    side a wins where both are priced. ``prices`` holds (bucket, symbol,
+    price), one row per pair, so no trade is repeated; equal trade rows count
+    once. Decimal amounts and prices stay decimal, so sums of the result do
+    not depend on their order.
     """
-    def side(rank: int, sym: str, amt: str) -> Column:
-        return F.struct(F.lit(rank).alias("rank"), F.col(sym).alias("symbol"), F.col(amt).cast("double").alias("amount"))
-
-    sides = trades.select(*trade_key, bucket, F.explode(F.array(side(0, *side_a), side(1, *side_b))).alias("s")).select(
-        *trade_key, bucket, "s.rank", "s.symbol", "s.amount"
-    )
-    priced = sides.join(prices.select(bucket, "symbol", "price"), [bucket, "symbol"])
-    best = F.min_by(F.struct("symbol", "amount", "price"), F.struct("rank", "amount"))
-    return priced.groupBy(*trade_key, bucket).agg(best.alias("r")).select(
-        *trade_key, bucket, "r.symbol", "r.amount", "r.price", (F.col("r.amount") * F.col("r.price")).alias("usd_amount")
-    )
+    (sym_a, amt_a), (sym_b, amt_b) = side_a, side_b
+    rows = trades.select(*trade_key, bucket, sym_a, amt_a, sym_b, amt_b).distinct()
+    for sym, out in ((sym_a, "_pa"), (sym_b, "_pb")):
+        rows = rows.join(prices.select(bucket, F.col("symbol").alias(sym), F.col("price").alias(out)), [bucket, sym], "left")
+    own = F.col("_pa").isNotNull()
+
+    def pick(a: str, b: str) -> Column:
+        return F.when(own, F.col(a)).otherwise(F.col(b))
+
+    priced = rows.where(own | F.col("_pb").isNotNull())
+    out = priced.select(*trade_key, bucket, pick(sym_a, sym_b).alias("symbol"), pick(amt_a, amt_b).alias("amount"), pick("_pa", "_pb").alias("price"))
+    return out.withColumn("usd_amount", F.col("amount") * F.col("price"))
 
 
 def asof_last(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as W
 from ..functions.frames import stack
 from ..functions.scalar import ZERO, dbl, to_int
+from ..session import cut_lineage
 from .aggregates import label_list
 from .joins import scalar_join
 from .ordering import exact_quantile
@@ -128,7 +129,7 @@ def flag_bots(moves: DataFrame, keys: Sequence[str] = ("token", "holder"), eps:
 
 def holder_stats(change: DataFrame, min_balance: float = 1) -> DataFrame:
     """Per token: holders ever, holders above the floor, their mean, median and total."""
-    last = balance_latest(change)
+    last = cut_lineage(balance_latest(change))  # one row per holder, read by three aggregates
     held = last.where(F.col("balance") >= min_balance)
     ever = last.groupBy("token").agg(F.count(F.lit(1)).alias("ever_held"))
     now = held.groupBy("token").agg(

@@ -37,13 +37,14 @@ def ordered_scan(
     again after an executor loss cannot change which rows share a range.
     """
     sums = dict(sums or {})
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = _order_cols(order)
-    ranged = cut_lineage(df.repartitionByRange(n, *cols).withColumn("_range", F.spark_partition_id()))
+    # without a stated number the runtime merges small neighbouring ranges, which keeps their order
+    spread = df.repartitionByRange(ranges, *cols) if ranges else df.repartitionByRange(*cols)
+    ranged = cut_lineage(spread.withColumn("_range", F.spark_partition_id()))
     per_range = ranged.groupBy("_range").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{out}") for out, c in sums.items()]
     )
-    # one row per range: at most ``n`` rows, so this window and broadcast are bounded
+    # one row per range, at most spark.sql.shuffle.partitions: this window and broadcast are bounded
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
         "_range",

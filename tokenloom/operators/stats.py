@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import windows as W
 from ..functions.scalar import dbl, safe_div
+from ..session import cut_lineage
 from .joins import scalar_join
 from .ordering import ordered_scan
 
@@ -30,6 +31,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Equal pairs are counted first, ranks come from sorted distinct values.
     """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = cut_lineage(pairs)  # read four times below
     j = pairs.join(_mean_ranks(pairs, x, "_rx"), x).join(_mean_ranks(pairs, y, "_ry"), y)
     n = pairs.agg(((F.sum("_n") + 1) / 2).alias("_mid"), F.sum("_n").alias("_all"))
     c = scalar_join(j, n)

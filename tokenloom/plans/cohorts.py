@@ -58,7 +58,7 @@ def event_moves(t: Tables):
 def order_intervals(t: Tables, frac: float | None = 0.75):
     one = t.order_ledger.withColumn("token", F.lit("ALL"))
     moves = L.signed_ledger(one, ["ts", "tx_hash"]).where(F.col("holder") != L.ZERO)
-    return C.exposure_intervals(C.without_bots(moves), ORDERS_AS_OF, frac)
+    return C.exposure_intervals(moves, ORDERS_AS_OF, frac)
 
 
 @report("k01_movements", sql("emoves", "select token, holder, day, ts, tx_hash, cast(amount as double) as amount, kind from emoves"))
@@ -69,7 +69,7 @@ def _(t):
 @report("k02_cohorts", sql("ocoh", "select * from ocoh"))
 def _(t):
     one = t.order_ledger.withColumn("token", F.lit("ALL"))
-    return C.cohorts(C.without_bots(L.signed_ledger(one, ["ts", "tx_hash"]).where(F.col("holder") != L.ZERO)))
+    return C.cohorts(L.signed_ledger(one, ["ts", "tx_hash"]).where(F.col("holder") != L.ZERO), drop_bots=True)
 
 
 BASE_COLS = """token, holder, cohort, exposure, dt, day, cast(amount as double) as amount, cast(running_amount as double) as running_amount"""
@@ -77,7 +77,7 @@ BASE_COLS = """token, holder, cohort, exposure, dt, day, cast(amount as double)
 
 @report("k03_user_base", sql("ebase", f"select {BASE_COLS}, cast(retained as bigint) as retained from ebase"))
 def _(t):
-    return C.user_base(C.without_bots(event_moves(t)), EVENTS_AS_OF)
+    return C.user_base(event_moves(t), EVENTS_AS_OF)
 
 
 @report("k04_maturity_cut_full", sql("egrid", f"select {BASE_COLS}, cast(case when running_amount > 0 then 1 else 0 end as bigint) as retained from egrid"))

@@ -62,10 +62,10 @@ define_view("revc", "funds iss_daily", f"""
     from (select u.*, cast(i.gross as double) as g, {_case(RATE).replace('symbol', 'u.symbol')} as r, {_case(MOVE).replace('symbol', 'u.symbol')} as m
           from funds u left join iss_daily i on i.symbol = u.symbol and i.day = u.day)""")
 define_view("vol", "trades base_prices", f"""
-    select product, day, sum(amt * cast(price as double)) as usd_volume from (
+    select product, day, sum(amt * price) as usd_volume from (
       select distinct tx_hash, trace, evt_index, day, minute, case when token_a in {IN_SYMBOLS} then token_a else token_b end as product,
              case when token_a in {IN_SYMBOLS} then token_b else token_a end as base,
-             cast(case when token_a in {IN_SYMBOLS} then amount_b else amount_a end as double) as amt
+             case when token_a in {IN_SYMBOLS} then amount_b else amount_a end as amt
       from trades) t join base_prices b on b.minute = t.minute and b.symbol = t.base group by all""")
 
 
@@ -443,16 +443,17 @@ def volume(t: Tables):
 
 
 @report("j25_trading_volume", sql("vol", """
-    select product, day, round(usd_volume, 2) as usd_volume, round(avg(usd_volume) over (partition by product order by day rows 7 preceding), 2) as av from vol"""))
+    select product, day, cast(usd_volume as double) as usd_volume, cast(sum(usd_volume) over w as double) / count(*) over w as av
+    from vol window w as (partition by product order by day rows 7 preceding)"""))
 def _(t):
-    return rnd(volume(t), 2, "usd_volume", "av")
+    return volume(t)
 
 
 @report("j25_trading_volume_total", sql("vol", """,
     d as (select day, sum(usd_volume) as v from vol group by day)
-    select day, round(v, 1) as volume, round(avg(v) over (order by day rows 7 preceding), 1) as av from d"""))
+    select day, cast(v as double) as volume, cast(sum(v) over w as double) / count(*) over w as av from d window w as (order by day rows 7 preceding)"""))
 def _(t):
-    return rnd(FL.trading_volume_total(volume(t)), 1, "volume", "av")
+    return FL.trading_volume_total(volume(t))
 
 
 @report("j26_buys_sells", sql("trades prices", f""",

@@ -298,7 +298,7 @@ def _(t):
     y as (select pool, tx_hash, event_id, cast(value as double) as r0, cast(k as double) as r1 from ev where event_type = 'click'),
     j as (select s.*, y.r0, y.r1 from s join y on y.pool = s.pool and y.tx_hash = s.tx_hash and y.event_id < s.event_id
           qualify row_number() over (partition by s.event_id order by y.event_id desc) = 1),
-    p as (select pool, ts, a1 as size, a1 / a0 as paid, (r1 + a1) / nullif(r0 - a0, 0) as before from j where a1 > 20)
+    p as (select pool, ts, a1 as size, a1 / a0 as paid, (r1 + a1) / nullif(r0 - a0, 0) as before from j where a1 > 20 and a0 > 0)
     select pool, ts, 'v2' as version, size, round(abs((paid - before) / nullif(before, 0) * 100), 6) as price_impact from p"""))
 def _(t):
     zero = F.lit(0)
@@ -309,7 +309,7 @@ def _(t):
 
 
 @report("l13_price_impact_v3", sql("v3px", """,
-    b as (select pool, ts, event_id, cast(amount1 as double) as size, cast(amount1 as double) / cast(amount0 as double) as paid,
+    b as (select pool, ts, event_id, cast(amount1 as double) as size, cast(amount1 as double) / nullif(cast(amount0 as double), 0) as paid,
                  sqrt_x96 * sqrt_x96 / 6277101735386680763835789423207666416102355444464034512896.0::double as after from v3px where amount1 > 20),
     c as (select *, lag(after) over (partition by pool order by event_id) as before from b)
     select pool, ts, 'v3' as version, size, abs((paid - before) / nullif(before, 0) * 100) as price_impact from c"""))
@@ -485,12 +485,12 @@ def _(t):
     x as (select a.product, a.day, a.r as r2, b.r as r3, p.price from r a join hour_px p on p.hour = a.hour and p.symbol = 'B0'
           left join r b on b.product = a.product and b.hour = a.hour and b.event_type = 'click' where a.event_type = 'view'),
     g as (select product, day, 1 / avg(r2) * avg(price) as p2, 1 / avg(r3) * avg(price) as p3, avg(price) as underlying from x group by all)
-    select product, day, round((coalesce(p2, 0) + coalesce(p3, 0)) / ((p2 is not null)::int + (p3 is not null)::int), 9) as product_price, round(underlying, 9) as underlying from g"""))
+    select product, day, round((coalesce(p2, 0) + coalesce(p3, 0)) / ((p2 is not null)::int + (p3 is not null)::int), 6) as product_price, round(underlying, 6) as underlying from g"""))
 def _(t):
     s = t.swaps.select(F.col("pool").alias("product"), "hour", "event_type", (F.col("amount0").cast("double") / (F.col("amount1") + 1)).alias("ratio"))
     px = hour_prices(t).where("symbol = 'B0'")
     out = N.vs_underlying(px, s.where("event_type = 'view'"), s.where("event_type = 'click'"), "hour", F.to_date("hour"), "day")
-    return rnd(out, 9, "product_price", "underlying")
+    return rnd(out, 6, "product_price", "underlying")
 
 
 def accruals(t: Tables):

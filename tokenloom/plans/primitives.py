@@ -343,11 +343,10 @@ def _(t):
 
 @report("c11_either_side_join", sql("trades base_prices", """
     select distinct tx_hash, trace, evt_index, b.symbol, cast(case when t.token_a = b.symbol then amount_a else amount_b end as double) as amount,
-           cast(price as double) as price, cast(case when t.token_a = b.symbol then amount_a else amount_b end as double) * cast(price as double) as usd_amount
+           cast(price as double) as price, cast(case when t.token_a = b.symbol then amount_a else amount_b end * price as double) as usd_amount
     from trades t join base_prices b on b.minute = t.minute and (t.token_a = b.symbol or t.token_b = b.symbol)"""))
 def _(t):
-    px = t.base_prices.withColumn("price", B.dbl("price"))
-    return J.either_side_join(t.trades, px, ["tx_hash", "trace", "evt_index"], "minute", ("token_a", "amount_a"), ("token_b", "amount_b")).drop("minute")
+    return J.either_side_join(t.trades, t.base_prices, ["tx_hash", "trace", "evt_index"], "minute", ("token_a", "amount_a"), ("token_b", "amount_b")).drop("minute")
 
 
 @report("c12_asof_last", sql("ev", """
