@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import stack
 from ..functions.scalar import dbl
-from .timeseries import closing
+from .timeseries import closing, row_at
 
 Keys = Sequence[str]
 
@@ -20,9 +20,7 @@ def latest(df: DataFrame, keys: Keys, cols: Keys, order: Keys) -> DataFrame:
 
 
 def earliest(df: DataFrame, keys: Keys, cols: Keys, order: Keys) -> DataFrame:
-    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), key).alias("_r"))
-    return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    return row_at(df, keys, cols, order, last=False)
 
 
 def one_per_key(df: DataFrame, keys: Keys) -> DataFrame:

@@ -23,7 +23,7 @@ from .timeseries import densify
 
 Keys = Sequence[str]
 
-# lower edges of the exposure bands, high to low
+# fixed values: lower edges of the exposure bands, high to low
 BANDS = [(250, "250+"), (50, "50-249"), (10, "10-49")]
 LOWEST = "<10"
 
@@ -220,7 +220,7 @@ def holding_times(daily: DataFrame, as_of: str, width: int = 30, bands: int = 5)
     return per.select(seq.alias("seq")).groupBy("seq").agg(F.count(F.lit(1)).alias("users")).select("seq", label.alias("holding_time"), "users")
 
 
-# upper edges of the trade-count bands
+# fixed values: lower edges of the trade-count bands, high to low
 TRADE_BANDS = [(100, "100+"), (50, "50-100"), (25, "25-50"), (10, "10-25"), (5, "5-10")]
 
 

@@ -15,7 +15,7 @@ from .ordering import grouped_scan, ordered_scan
 
 BY_SIZE = [("balance", True), ("address", False)]
 
-# upper ends of the holder percentile bands, in percent
+# fixed values: upper ends of the holder percentile bands, in percent
 PERCENTILES = (0.1, 1.0, 10.0, 100.0)
 
 
@@ -200,6 +200,7 @@ def deciding_votes(votes: DataFrame, proposals: DataFrame, pass_share: Mapping[s
     return j.withColumn("is_deciding_vote", label).drop("scores")
 
 
+# fixed values: the kinds of winning votes
 DECIDING = ["Was Deciding Voter", "Not Deciding Voter", "no quorum"]
 
 

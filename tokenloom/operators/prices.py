@@ -80,17 +80,17 @@ def median_trade_price(trades: DataFrame, base: DataFrame, symbols: Sequence[str
     return exact_quantile(usd, ["symbol", "day"], "usd", 0.5, "price")
 
 
-def pool_price(products: DataFrame, v2: DataFrame, v3: DataFrame, sushi: DataFrame, base: DataFrame, start: str, as_of: str) -> DataFrame:
+def pool_price(products: DataFrame, v2: DataFrame, v3: DataFrame, fork: DataFrame, base: DataFrame, start: str, as_of: str) -> DataFrame:
     """Day price per product from the venue and base asset named in the product table.
 
-    v2 and sushi ratios count once per hour and distinct value, v3 ratios are
+    v2 and fork ratios count once per hour and distinct value, v3 ratios are
     averaged per hour; the day price is the mean of what remains.
     Swaps have (pool, hour, ratio), base has (base, hour, base_price).
     """
     tagged = stack(
         v2.select("pool", "hour", "ratio").distinct().withColumn("venue", F.lit("v2")),
         v3.groupBy("pool", "hour").agg(F.avg("ratio").alias("ratio")).withColumn("venue", F.lit("v3")),
-        sushi.select("pool", "hour", "ratio").distinct().withColumn("venue", F.lit("sushi")),
+        fork.select("pool", "hour", "ratio").distinct().withColumn("venue", F.lit("fork")),
     )
     p = products.select(F.col("symbol").alias("pool"), "venue", "base")
     usd = tagged.join(p, ["pool", "venue"]).join(base, ["base", "hour"])
@@ -107,7 +107,7 @@ def pooled_vwap(v2: DataFrame, v3: DataFrame, base_hours: DataFrame, ma: int = 1
     is the hour grid.
     """
     raw = stack(v2, v3).groupBy("symbol", "hour").agg(safe_div(F.sum("base_amt"), F.sum("token_amt")).alias("in_base"))
-    grid = base_hours.crossJoin(raw.select("symbol").distinct())
+    grid = raw.select("symbol").distinct().crossJoin(F.broadcast(base_hours))  # one row per hour of the calendar
     px = grid.join(raw, ["symbol", "hour"], "left").select("symbol", "hour", (F.col("in_base") * F.col("base_price")).alias("price"))
     px = px.withColumn("price_filled", W.last_known("price", ["symbol"], "hour"))
     return px.withColumn("price_ma", W.moving_avg("price_filled", ["symbol"], "hour", ma - 1))

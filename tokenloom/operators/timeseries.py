@@ -65,13 +65,46 @@ def expand_intervals(df: DataFrame, start: str, end: str, name: str) -> DataFram
     return df.where(F.col(start) < F.col(end)).select(*rest, F.explode(days).alias(name))
 
 
-def closing(df: DataFrame, part: Keys, cols: Keys, order: Keys) -> DataFrame:
-    """Values of the last row per group. Partial aggregation, no sort."""
-    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    picked = df.groupBy(*part).agg(F.max_by(F.struct(*cols), key).alias("_r"))
+def order_key(df: DataFrame, order: Keys) -> Column | None:
+    """One fixed-width sort key for one or two order columns, or None.
+
+    Two whole-number (or time) columns such as (block, index) are packed into
+    one decimal; the second must not be negative.
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    kinds = dict(df.dtypes)
+    if len(order) != 2 or any(kinds[c] not in ("int", "bigint", "timestamp", "smallint") for c in order):
+        return None
+
+    def whole(c: str) -> Column:
+        return (F.unix_micros(c) if kinds[c] == "timestamp" else F.col(c)).cast("decimal(19,0)")
+
+    return (whole(order[0]) * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") + whole(order[1])
+
+
+def row_at(df: DataFrame, part: Keys, cols: Keys, order: Keys, last: bool = True) -> DataFrame:
+    """Values of the last (or first) row per group by one or more order columns.
+
+    With a fixed-width key each value is picked on its own, which keeps the
+    aggregation buffers mutable and the aggregation a hash one; every column
+    sees the same comparisons, so all come from the same row. Other keys are
+    compared as a struct.
+    """
+    pick = F.max_by if last else F.min_by
+    key = order_key(df, order)
+    if key is not None:
+        keyed = df.withColumn("_key", key)
+        return keyed.groupBy(*part).agg(*[pick(c, "_key").alias(c) for c in cols])
+    picked = df.groupBy(*part).agg(pick(F.struct(*cols), F.struct(*order)).alias("_r"))
     return picked.select(*part, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
+def closing(df: DataFrame, part: Keys, cols: Keys, order: Keys) -> DataFrame:
+    """Values of the last row per group. Partial aggregation, no sort of the rows."""
+    return row_at(df, part, cols, order)
+
+
 def explode_ticks(df: DataFrame, lo: str, hi: str, step: int, name: str = "tick") -> DataFrame:
     """One row per tick of [lo, hi)."""
     rest = [c for c in df.columns if c != name]

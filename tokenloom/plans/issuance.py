@@ -258,7 +258,7 @@ def base_hours(t: Tables):
     b as (select symbol as base, date_trunc('hour', minute) as hour, cast(sum(price) as double) / count(price) as p from base_minutes group by all),
     r as (select pool, hour, 'v2' as venue, cast(amount1 as double) / nullif(cast(amount0 as double), 0) as r from swaps
           union all select pool, hour, 'v3', avg(cast(amount1 as double) / nullif(cast(amount0 as double), 0)) from swaps group by all
-          union all select pool, hour, 'sushi', cast(amount1 as double) / nullif(cast(amount0 as double), 0) from swaps),
+          union all select pool, hour, 'fork', cast(amount1 as double) / nullif(cast(amount0 as double), 0) from swaps),
     u as (select distinct r.pool, r.hour, r.r * b.p as usd from r join products p on p.symbol = r.pool and p.venue = r.venue
           join b on b.base = p.base and b.hour = r.hour),
     d as (select pool, cast(hour as date) as day, round(avg(usd), 6) as price from u group by all)

@@ -94,9 +94,8 @@ def _(t):
 @report("a06_read_addresses", sql("tags", "select address from tags"))
 def _(t):
     path = scratch_path(t.spark, "addresses")
-    t.labels.select(F.concat(F.lit('"'), F.upper(F.regexp_replace("address", "^0x", "")).alias("x"), F.lit('"')).alias("value")).select(
-        F.regexp_replace("value", '^"', '"0x').alias("value")
-    ).write.text(path)
+    digits = F.upper(F.regexp_replace("address", "^0x", ""))
+    t.labels.select(F.concat(F.lit('"0x'), digits, F.lit('"')).alias("value")).write.text(path)
     return R.read_addresses(t.spark, path)
 
 

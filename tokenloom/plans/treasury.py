@@ -105,6 +105,7 @@ def _(t):
     return T.backing(current, t.order_ledger, "P0", ["P1", "P2"], "0x00000004", ["0x00000005", "0x00000007"])
 
 
+# fixed values: daily grant per period
 GRANTS = [("2024-01-01", "2024-01-10", "6506.8493"), ("2024-01-11", "2024-01-20", "3904.1096"), ("2024-01-21", "2024-01-31", "2602.7397")]
 
 
@@ -120,6 +121,7 @@ def _(t):
     return T.vesting(schedule, claims, EVENTS_START, EVENTS_AS_OF)
 
 
+# fixed values: daily rewards; the second range overlaps the first on purpose
 SCHEDULE = [("2024-01-02", "2024-01-12", 3864), ("2024-01-10", "2024-01-22", 2500), ("2024-01-22", "2024-01-31", 1250)]
 define_view("staked", "signed event_days", f"""
     select e.day, sum(coalesce(m, 0)) over (order by e.day) as minted, sum(coalesce(s, 0)) over (order by e.day) as balance

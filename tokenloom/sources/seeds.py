@@ -17,7 +17,7 @@ PRODUCTS = [
     ("P1", "Beta", "simple", "1995-03-01", "v3", "B0"),
     ("P2", "Gamma", "leveraged", "1995-06-01", "v2", "B1"),
     ("P3", "Delta", "leveraged", "1996-01-01", "v3", "B1"),
-    ("P4", "Epsilon", "simple", "1996-07-01", "sushi", "B0"),
+    ("P4", "Epsilon", "simple", "1996-07-01", "fork", "B0"),
 ]
 
 # symbol, partner, begin, end, streaming fee per year, issue fee, redeem fee, partner split
