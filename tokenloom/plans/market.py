@@ -42,9 +42,9 @@ def mshare(t: Tables):
     return M.market_share(caps, products(t.spark).select("symbol", F.col("kind").alias("project")))
 
 
-@report("p02_market_share", sql("mshare", "select project, day, round(cap, 6) as cap, round(percent, 9) as percent from mshare"))
+@report("p02_market_share", sql("mshare", "select project, day, round(cap, 9) as cap, round(percent, 9) as percent from mshare"))
 def _(t):
-    return rnd(rnd(mshare(t), 6, "cap"), 9, "percent")
+    return rnd(mshare(t), 9, "cap", "percent")
 
 
 @report("p02_market_share_wide", sql("mshare", """
