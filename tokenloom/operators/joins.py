@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeseries import row_at
+
 Keys = Sequence[str]
 
 
@@ -77,8 +79,8 @@ def asof_last(
     r = right.withColumn("_b", bucket).select(*keys, *order, "_b", vals.alias("_v"), F.lit(0 if inclusive else 1).alias("_tag"), F.lit(False).alias("_left"))
     lft = left.withColumn("_b", bucket).withColumn("_tag", F.lit(1 if inclusive else 0)).withColumn("_left", F.lit(True))
     both = lft.unionByName(r, allowMissingColumns=True)
-    order_key = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    ends = r.groupBy(*keys, "_b").agg(F.max_by("_v", order_key).alias("_end"))
+    closing_rows = row_at(right.withColumn("_b", bucket), [*keys, "_b"], cols, order)
+    ends = closing_rows.select(*keys, "_b", vals.alias("_end"))
     seen = lft.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "full")
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = seen.select(*keys, "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
@@ -93,10 +95,9 @@ def previous_row(df: DataFrame, keys: Keys, order: Keys, cols: Sequence[tuple[st
 
     ``cols`` maps a column to the name of its lagged copy.
     """
-    order_key = F.struct(*order) if len(order) > 1 else F.col(order[0])
     b = df.withColumn("_b", bucket)
-    vals = F.struct(*[F.col(c) for c, _ in cols])
-    ends = b.groupBy(*keys, "_b").agg(F.max_by(vals, order_key).alias("_end"))
+    names = [c for c, _ in cols]
+    ends = row_at(b, [*keys, "_b"], names, order).select(*keys, "_b", F.struct(*names).alias("_end"))
     carry = ends.select(*keys, "_b", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry"))
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     out = b.withColumn("_rn", F.row_number().over(w)).withColumns({f"_p_{n}": F.lag(c).over(w) for c, n in cols})

@@ -13,6 +13,8 @@ from ..operators import joins as J
 from ..operators import ledger as L
 from ..operators import timeseries as T
 from ..operators.governance import DECIDING
+from ..operators.liquidity import lp_share
+from ..operators.market import wide_filled
 from ..operators.ordering import exact_quantile, group_median, ordered_scan
 from ..operators.staking import top_stakes
 from ..operators.stats import rolling
@@ -22,7 +24,7 @@ from ..sources import sinks as K
 from ..sources.canonical import EVENTS_AS_OF, EVENTS_START, ORDERS_AS_OF, ORDERS_START, Tables
 from ..sources.seeds import PRODUCTS, fees, products, seed
 from ..streaming import daily as D
-from .governance import winning
+from .governance import cleaned, winning
 from .liquidity import lp_events
 from .registry import report, rnd, sql
 
@@ -713,6 +715,17 @@ def _(t):
     return T.fill_by_group(g, ["address"], "day", "v", "value").drop("v")
 
 
+POOLS = ["P0", "P1", "P2", "P3", "P4"]
+
+
+@report("g06_wide_fill", sql("ev event_hours", """
+    , h as (select date_trunc('hour', ts) as day, pool as symbol, cast(max(value) as double) as v from ev where event_type = 'click' group by all)
+    select day, """ + ", ".join(f"last_value(max(v) filter (where symbol = '{p}') ignore nulls) over (order by day rows unbounded preceding) as {p}" for p in POOLS) + " from h group by day"))
+def _(t):
+    h = t.of_type("click").groupBy(F.date_trunc("hour", "ts").alias("day"), F.col("pool").alias("symbol")).agg(F.max("value").cast("double").alias("v"))
+    return wide_filled(h, POOLS, "v")
+
+
 @report("g07_step_function", sql("ev event_days", """,
     s as (select pool, day, cast(max(value) as double) as v from ev where event_type = 'click' and value > 100 group by all),
     c as (select *, lead(day, 1, date '2024-02-01') over (partition by pool order by day) as nxt from s)
@@ -735,6 +748,14 @@ def _(t):
     return T.explode_ticks(per, "tick_lower", "tick_upper", 60).groupBy("pool", "tick").agg(F.sum("v").alias("liquidity"))
 
 
+@report("g10_stitch", sql("ev event_prices", """,
+    r as (select pool as symbol, day, cast(max(value) as double) as price from ev where value > 150 group by all)
+    select * from r union all select symbol, day, cast(price as double) from event_prices p where not exists (select 1 from r where r.symbol = p.symbol and r.day = p.day)"""))
+def _(t):
+    first = t.ev.where("value > 150").groupBy(F.col("pool").alias("symbol"), "day").agg(F.max("value").cast("double").alias("price"))
+    return T.stitch(first, t.event_prices.select("symbol", "day", B.dbl("price").alias("price")), ["symbol", "day"])
+
+
 @report("g11_downsample", sql("ev", """,
     h as (select pool, date_trunc('hour', ts) as hour, cast(sum(value) as double) as v from ev group by all)
     select pool, cast(hour as date) as day, round(avg(v), 9) as v, max(v) as hi from h group by all"""))
@@ -746,6 +767,16 @@ def _(t):
 # -- former row functions ----------------------------------------------------
 
 
+@report("h02_lp_positions_as_of", sql("lp_pos", "select * from lp_pos"))
+def _(t):
+    return lp_share(t.transfers, "P2", "P1", "0x00000005", before="2024-01-03")
+
+
+@report("h04_row_functions", sql("props", "select proposal_id, category, cast(result as bigint) as result from props"))
+def _(t):
+    return cleaned(t).select("proposal_id", "category", "result")
+
+
 @report("h03_hex_to_number", sql("ord", "select o_orderkey, cast(o_orderkey * 1000000007 as double) as x from ord"))
 def _(t):
     return t.orders.select("o_orderkey", B.hex_to_number(F.hex(F.col("o_orderkey") * 1000000007)).alias("x"))

@@ -15,6 +15,7 @@ def build_session(app: str = "tokenloom", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # drop files of frames nobody holds
     )
     if master:
         builder = builder.master(master)

@@ -32,9 +32,13 @@ def register_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> None:
 
 
 def write_history(df: DataFrame, path: str, day: str, cut: str) -> None:
-    """Store the days before ``cut``, by month, so that readers skip what they do not need."""
+    """Store the days before ``cut``, by month, so that readers skip what they do not need.
+
+    The rebalance hint gathers small months and splits large ones, so no month
+    has to pass through one task.
+    """
     past = df.where(F.col(day) < F.lit(cut).cast("date"))
-    past.withColumn("month", F.date_format(day, "yyyy-MM")).repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+    past.withColumn("month", F.date_format(day, "yyyy-MM")).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def cached_union(live: DataFrame, path: str, day: str, cut: str) -> DataFrame:
