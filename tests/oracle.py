@@ -23,6 +23,8 @@ def _norm(v):
         return None
     if isinstance(v, float) and math.isnan(v):
         return "nan"
+    if isinstance(v, float):
+        return v + 0.0  # no negative zero
     if isinstance(v, decimal.Decimal):
         return ("decimal", str(v))
     if isinstance(v, dt.datetime):

@@ -44,6 +44,8 @@ def test_scalar_helpers(spark):
     ).first()
     assert (r.a, r.b, r.n, r.z, r.s) == ("0xabcd", "0xab", 6, None, 1.5)
     assert r.h == float(16**24 - 1)
+    huge = df.select(B.scale(F.lit("1" + "0" * 40)).alias("x")).first().x  # beyond 38 digits: double, no overflow
+    assert huge == pytest.approx(1e22)
 
 
 def test_intervals_and_steps(spark):

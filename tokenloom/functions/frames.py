@@ -14,12 +14,12 @@ def stack(*parts: DataFrame) -> DataFrame:
 
 
 def plain_numbers(df: DataFrame) -> DataFrame:
-    """Decimals to double and integers to bigint, one type per kind of number."""
+    """Decimals to double and integers to bigint, one type per kind of number; no negative zero."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DecimalType, T.FloatType)):
-            c = c.cast("double").alias(f.name)
+        if isinstance(f.dataType, (T.DecimalType, T.FloatType, T.DoubleType)):
+            c = (c.cast("double") + F.lit(0.0)).alias(f.name)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint").alias(f.name)
         elif isinstance(f.dataType, T.TimestampNTZType):

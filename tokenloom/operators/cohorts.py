@@ -19,7 +19,6 @@ from ..functions import windows as W
 from ..functions.frames import stack
 from ..functions.scalar import ZERO, band, dbl, month_label, safe_div
 from .ledger import HOLDER, exclude_contracts, flag_bots, signed_ledger
-from .timeseries import densify
 
 Keys = Sequence[str]
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
-from ..functions.frames import stack
 from ..functions.scalar import dbl, safe_div, to_int
 from .aggregates import count_if
 from .joins import running_total, scalar_join

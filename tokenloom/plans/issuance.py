@@ -328,7 +328,7 @@ def _(t):
 
 
 @report("j16_revenue_daily", sql("rev", """
-    select *, total_revenue * (1.0::double - partner_split) as net_revenue, total_revenue * partner_split as partner_fee from rev"""))
+    select *, total_revenue * (1.0::double - partner_split) as net_revenue, total_revenue * partner_split + 0.0::double as partner_fee from rev"""))
 def _(t):
     return revenue(t)
 
@@ -402,7 +402,7 @@ def _growth_sql(denom: str, smooth: bool, min_days: int | None, every: bool) ->
                  sum(net_inflow) over (partition by c.symbol order by c.day rows 6 preceding)
                  / nullif(lag({denom}, 7) over (partition by c.symbol order by c.day), 0) as g
           from flc c left join products p on p.symbol = c.symbol),
-    b as (select symbol, day, days_since_launch, round({g}, 7) as growth from a)
+    b as (select symbol, day, days_since_launch, round({g}, 7) + 0.0::double as growth from a)
     select symbol, day, days_since_launch, growth{", days_since_launch // 7 as week" if every else ""} from b {"where " + where if where else ""}""")
 
 
