@@ -49,7 +49,7 @@ def sql_rows(con, text):
     return cols, _sorted([tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()])
 
 
-def difference(got, want, rel=0.0) -> str:
+def difference(got, want, rel=0.0, tol=0.0) -> str:
     """Empty text when equal; otherwise what differs first."""
     (gc, gr), (wc, wr) = got, want
     if gc != wc:
@@ -63,7 +63,7 @@ def difference(got, want, rel=0.0) -> str:
                 continue
             if type(a) is not type(b):
                 return f"{c}: {a!r} ({type(a).__name__}) != {b!r} ({type(b).__name__})"
-            if a != b and not (isinstance(a, float) and math.isclose(a, b, rel_tol=rel, abs_tol=0.0)):
+            if a != b and not (isinstance(a, float) and math.isclose(a, b, rel_tol=rel, abs_tol=tol)):
                 bad.append((c, a, b, g, w))
     if bad:
         c, a, b, g, w = bad[0]
