@@ -69,9 +69,9 @@ def test_patterns_find_unseen_identifiers(spark):
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(1, "mail a.b@c.de now", 17), (2, None, None), (3, "+1 (555) 555-0199 4111 1111 1111 1111", 37), (4, "clean", 5)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, "mail a.b@c.de now", 17), (2, None, None), (3, "+1 (555) 555-0199, 4111 1111 1111 1111", 38), (4, "clean", 5)], "doc_id long, text string, n_chars long")
     out = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs).collect()}
-    assert out == {1: ("mail <EMAIL> now", 16), 2: (None, None), 3: ("<PHONE> <CARD>", 14), 4: ("clean", 5)} or out[3][0].startswith("<")
+    assert out == {1: ("mail <EMAIL> now", 16), 2: (None, None), 3: ("<PHONE>, <CARD>", 15), 4: ("clean", 5)}
     assert pii.redact(frame(spark)).columns == frame(spark).columns
     assert pii.redact(empty(spark)).collect() == []
     assert pii.span_digest(empty(spark)).collect() == []

@@ -6,8 +6,8 @@
    around an occurrence induce lexical patterns. Spark scores the graph of
    patterns and instances in rounds: a pattern's confidence for a kind is the
    weight of its known instances of that kind over all its instances; an
-   unknown instance that high-confidence patterns of one kind surround becomes
-   known and counts in the next round.
+   unknown instance that high-confidence patterns of one kind surround (in front
+   and behind) becomes known and counts in the next round.
 3. Occurrences of instances found this way are added to the base spans of
    their text, unless they touch one.
 
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import as_bytes, fresh, materialise
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.9
+ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -172,8 +172,10 @@ def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
         top = F.array_max(F.array(*[F.struct(F.coalesce(f"w{k}", F.lit(0.0)).alias("w"), F.lit(k).alias("kind")) for k in range(len(KINDS))]))
         good = scored.withColumn("top", top).select("pattern", "seeds", F.col("top.kind").alias("kind"), (F.col("top.w") / F.col("n")).alias("confidence"))
         trusted = materialise(good.where((F.col("seeds") >= support) & (F.col("confidence") >= confidence)), "pii-patterns")
-        vouched = edges.where("seed < 0").join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
-        one = vouched.groupBy("instance").agg(F.max_by(F.struct("kind", "score"), F.struct("score", -F.col("kind"))).alias("b"), F.count(F.lit(1)).alias("kinds"))
+        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
+        behind = F.col("pattern").startswith("_")
+        vouched = edges.where("seed < 0").join(trusted, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("score"), F.min(behind).alias("all_behind"), F.max(behind).alias("any_behind"))
+        one = vouched.where("any_behind and not all_behind").groupBy("instance").agg(F.max_by(F.struct("kind", "score"), F.struct("score", -F.col("kind"))).alias("b"), F.count(F.lit(1)).alias("kinds"))
         known = materialise(one.where((F.col("kinds") == 1) & (F.col("b.score") >= confidence)).select("instance", "b.kind", "b.score"), "pii-known")
     return known.select("instance", "kind")
 
