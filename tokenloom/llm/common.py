@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -66,6 +66,13 @@ def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def in_steps(batches: Iterable[pa.RecordBatch], text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``limit`` bytes of text, so that a worker holds little at a time."""
+    for batch in batches:
+        for a, b in slices(pc.binary_length(batch.column(text)).fill_null(0).to_pylist(), limit):
+            yield batch.slice(a, b - a)
+
+
 def take_ranges(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The ranges [start, start + len) of ``flat``, one after the other."""
     total = int(lens.sum())
@@ -103,8 +110,15 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object,
         yield now, held
 
 
+_ZSTD = pa.Codec("zstd", compression_level=9)
+
+
 def squeeze(data: bytes) -> bytes:
-    return zlib.compress(data, 1)
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
 
 
 def varint(values: np.ndarray) -> bytes:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom
-from .common import as_bytes, bounds, fresh, materialise, runs, slices, take_ranges
+from .common import as_bytes, bounds, fresh, in_steps, materialise, runs, slices, take_ranges
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9999, 128
 BLOCK = 400
@@ -150,7 +150,7 @@ def signatures(docs: DataFrame, words: int, shape: tuple[int, int]) -> DataFrame
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(words), Bands(*shape)
-        for batch in batches:
+        for batch in in_steps(batches, 1):
             texts = as_bytes(batch.column(1))
             nodes, keys = [], []
             for grams in shingler.sets(texts):
@@ -188,7 +188,7 @@ def gram_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in in_steps(batches, 3):
             sets = [g.tobytes() for g in shingler.sets(as_bytes(batch.column(3)))]
             keys = [np.array(b, np.int64).tobytes() for b in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["node", "copies", "keys", "grams"])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, materialise
+from .common import as_bytes, fresh, in_steps, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
@@ -140,7 +140,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("text_key", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.int32()), ("patterns", pa.list_(pa.string()))])
-        for batch in batches:
+        for batch in in_steps(batches, 0):
             rows = []
             for raw in as_bytes(batch.column(0)):
                 text = raw.decode()
