@@ -37,6 +37,7 @@ def test_word_codec_cache_is_bounded(monkeypatch):
     for t in texts:
         assert coder.encode([t.encode()])[0].tolist() == word_ids(t)
         assert len(coder.index) <= 6
+    assert coder.encode([b"one1 two1 one1 ABC, \xc3\x89t\xc3\xa9. <|endoftext|> <|END|>"])[0].tolist() == word_ids("one1 two1 one1 ABC, Été. <|endoftext|> <|END|>")
 
 
 @settings(max_examples=600, deadline=None)

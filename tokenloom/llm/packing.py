@@ -19,6 +19,7 @@ two (``padded``).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, list_array, materialise
-from .tokenfiles import ids_crc32
+from .common import as_bytes, bounds, in_steps, list_array, materialise
 from .wordcodec import codec, tokenizer_file, with_end
 
 SIZE = 4096
-PIECE_SCHEMA = "doc_id bigint, start bigint, length int, doc_tokens bigint, part int, nth bigint, ids array<int>"
+PIECE_SCHEMA = "doc_id bigint, start bigint, length int, doc_tokens bigint, part int, nth bigint, ids_crc32 bigint"
 
 
 class CapacityTree:
@@ -104,13 +104,15 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[np.ndarray, np.nd
     return np.array(sorted(steps), np.int64).reshape(-1, 6), np.array(fills, np.int64).reshape(-1, 3)
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, size: int = SIZE) -> DataFrame:
-    """Pieces of all documents with their ids, numbered per part and length; written once."""
+def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, size: int = SIZE, with_ids: bool = True) -> DataFrame:
+    """Pieces of all documents, numbered per part and length; written once, with their ids if they are wanted."""
     content = tokenizer_file(tokenizer)
+    schema = PIECE_SCHEMA + ", ids array<int>" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seen = codec(content), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for batch in batches:
+        for batch in in_steps(batches, 1):
             ids, lens = with_end(*coder.encode(as_bytes(batch.column(1))), end_id)
             pieces = -(-lens // size)
             doc = np.repeat(np.arange(len(lens)), pieces)
@@ -121,13 +123,15 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, s
             nth = np.empty(len(doc), np.int64)
             nth[order] = seen[ranked] + np.arange(len(doc)) - np.searchsorted(ranked, ranked)
             seen += np.bincount(length, minlength=size + 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(lens[doc], pa.int64()),
-                 pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth, pa.int64()), list_array(ids, length, pa.int32())],
-                ["doc_id", "start", "length", "doc_tokens", "part", "nth", "ids"],
-            )
+            data, cuts = memoryview(ids.astype("<u4").tobytes()), (bounds(length) * 4).tolist()
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+            columns = [
+                batch.column(0).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(lens[doc], pa.int64()),
+                pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth, pa.int64()), pa.array(crc, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*columns, list_array(ids, length, pa.int32())] if with_ids else columns, names)
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE_SCHEMA), "pieces")
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema), "pieces")
 
 
 def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
@@ -162,8 +166,7 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ... of every piece."""
-    small = cut_pieces(docs, tokenizer).withColumn("ids_crc32", ids_crc32("ids")).drop("ids")
-    return place(small).withColumn("length", F.col("length").cast("long"))
+    return place(cut_pieces(docs, tokenizer, with_ids=False)).withColumn("length", F.col("length").cast("long"))
 
 
 def sequences(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from .common import as_bytes, bounds, list_array, list_parts, partitions
+from .common import as_bytes, bounds, in_steps, list_array, list_parts, partitions
 from .wordcodec import codec, tokenizer_file, with_end
 
 DATA_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
@@ -44,7 +44,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = codec(content), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in in_steps(batches, 1):
             ids, lens = with_end(*coder.encode(as_bytes(batch.column(1))), end_id)
             before = bounds(lens)
             yield pa.RecordBatch.from_arrays(

@@ -1,13 +1,17 @@
 """Encoding of whole texts with a vocabulary file of the tokenizers library.
 
-The vocabulary of word ends drops white space and never joins two words, so a
-text has the ids of its white-space separated words in order. Each distinct
-word is encoded once by the library and kept in a bounded cache of the worker.
+The vocabulary of word ends drops white space, ignores case and never joins two
+words, so a text has the ids of its white-space separated words in order. Each
+distinct word is encoded once and kept in a bounded cache of the worker, which
+forgets the words it met only once when it is full. Latin letters with marks
+behind them are two entries of the library's BPE model, every other word goes
+through the library's whole pipeline.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -16,7 +20,11 @@ from .common import bounds, slices, take_ranges
 
 WORD_FILE = "word_bpe_49k.json"
 STEP_BYTES = 2 << 20
-CACHE_WORDS, CACHE_BYTES = 600_000, 24 << 20
+CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
+_SIMPLE = re.compile(r"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+# bytes as the printable characters that byte-level vocabularies use: printable bytes stay, the others follow 255
+_STAY = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _STAY)}
 
 
 def tokenizer_file(path: str | None = None, name: str = WORD_FILE) -> bytes:
@@ -39,38 +47,75 @@ class WordCodec:
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.starts, self.lens, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.flat, self.starts, self.lens, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the words met twice or more, if they are short and at most half a cache."""
+        keep = [w for w, n in zip(self.index, self.hits.tolist()) if n > 1 and len(w) < 64]
+        if len(keep) > CACHE_WORDS // 2:
+            keep = []
+        at = np.fromiter(map(self.index.__getitem__, keep), np.int64, len(keep))
+        flat, lens = take_ranges(self.flat, self.starts[at], self.lens[at]), self.lens[at]
+        self._clear()
+        self._add(keep, flat, lens)
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _add(self, words: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
         self.starts = np.concatenate((self.starts, len(self.flat) + bounds(lens)[:-1]))
         self.lens = np.concatenate((self.lens, lens))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))))
+        self.flat = np.concatenate((self.flat, flat))
+        self.hits = np.concatenate((self.hits, np.zeros(len(words), np.int32)))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.bytes += sum(map(len, words))
+
+    def _learn(self, words: list[bytes]) -> None:
+        tokenize = self.tokenizer.model.tokenize
+        plain = [w for w in words if w.isalpha()]  # a-z only, as the texts are in lower case
+        other = [w for w in words if not w.isalpha()]
+        ids = [[t.id for t in tokenize(w.decode())] if w.islower() else self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in plain]
+        pieces = dict(zip((w.decode() for w in plain if w.islower()), (i for w, i in zip(plain, ids) if w.islower())))
+        words, texts = plain + other, [w.decode() for w in other]
+        found = [_SIMPLE.fullmatch(t) for t in texts]
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, m in zip(texts, found) if not m], add_special_tokens=False))
+        for m in found:
+            if not m:
+                ids.append(next(rest).ids)
+                continue
+            letters, marks = m[1].lower(), m[2]
+            for piece in (letters, marks):
+                if piece and piece not in pieces:
+                    text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_CHARS)
+                    pieces[piece] = [t.id for t in tokenize(text)]
+            ids.append(pieces[letters] + pieces[marks] if marks else pieces[letters])
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(words, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())), lens)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
         flats, lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for a, b in slices(map(len, texts), STEP_BYTES):
-            words = [t.split() for t in texts[a:b]]
+            # special tokens are written in lower case, so texts with their brackets keep their case
+            words = [_lowered(t).split() for t in texts[a:b]]
             flat = list(chain.from_iterable(words))
-            new = sorted(set(flat).difference(self.index))
-            if len(self.index) + len(new) > CACHE_WORDS or self.bytes > CACHE_BYTES:
-                self._clear()
-                new = sorted(set(flat))
+            new = list(set(flat).difference(self.index))
+            if len(self.index) + len(new) > CACHE_WORDS or sum(map(len, new)) > CACHE_BYTES:
+                self._forget()
+                new = list(set(flat).difference(self.index))
             if new:
                 self._learn(new)
             codes = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+            self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
             each = self.lens[codes]
             flats.append(take_ranges(self.flat, self.starts[codes], each))
-            ends = bounds(each)[bounds(np.fromiter(map(len, words), np.int64, len(words)))]
-            lens.append(np.diff(ends))
+            lens.append(np.diff(bounds(each)[bounds(np.fromiter(map(len, words), np.int64, len(words)))]))
         return np.concatenate(flats), np.concatenate(lens)
 
 
+def _lowered(text: bytes) -> bytes:
+    """A-Z in lower case, as the vocabulary has it."""
+    if b"<|" in text:
+        return text
+    return text.lower()
+
+
 _CODECS: dict[bytes, WordCodec] = {}
 
 
