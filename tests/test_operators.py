@@ -205,3 +205,18 @@ def test_statistics(spark):
     assert one.ci_low == pytest.approx(two.ci_low) and one.ci_low < one["std"] < one.ci_high
     ties = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (2.0, 3.0), (3.0, 5.0)], "x double, y double")
     assert S.spearman(ties, "x", "y").first().rho == pytest.approx(0.8333333333)
+
+
+def test_keys_are_never_cut(spark):
+    from tokenloom.functions.scalar import hex_to_number, norm_address, sort_key
+    from tokenloom.sources.canonical import addr
+
+    ids = [14_999_999, 149_999_999, 150_000_005, 7]
+    got = [r.a for r in spark.createDataFrame([(i,) for i in ids], "i long").select(addr("i").alias("a")).collect()]
+    assert got == ["0x15000000", "0x150000000", "0x150000006", "0x00000008"]
+    pairs = [(1, 123), (1, 1234), (1, 1239), (2, 5), (10**13, 1), (10**12, 10**7)]
+    df = spark.createDataFrame(pairs, "b long, i long")
+    assert [(r.b, r.i) for r in df.orderBy(sort_key("b", "i")).collect()] == sorted(pairs)
+    assert len({r.k for r in df.select(sort_key("b", "i").alias("k")).collect()}) == len(pairs)
+    texts = spark.createDataFrame([("\\x" + "ab" * 30,), ("f" * 65,), ("ff",)], "t string").select(norm_address("t").alias("n"), hex_to_number("t").alias("h")).collect()
+    assert texts[0].n == "0x" + "ab" * 30 and texts[1].h is None and texts[2].h == 255.0

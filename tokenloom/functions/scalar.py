@@ -33,7 +33,7 @@ def safe_div(num: Column | str, den: Column | str) -> Column:
 def norm_address(c: Column | str) -> Column:
     """Lower-case 0x form; repairs the back-slash prefix of byte literals."""
     text = F.lower(F.trim(col(c)))
-    return F.when(text.startswith("\\x"), F.concat(F.lit("0"), F.substring(text, 2, 1 << 20))).otherwise(text)
+    return F.when(text.startswith("\\x"), F.concat(F.lit("0"), text.substr(F.lit(2), F.length(text)))).otherwise(text)
 
 
 def split_list(text: Column | str, sep: str = ",") -> Column:
@@ -74,9 +74,15 @@ def category_of(title: Column | str, rules: Sequence[tuple[str, str]], otherwise
     return out.otherwise(otherwise)
 
 
-def sort_key(block: Column | str, index: Column | str, width: int = 6) -> Column:
-    """Text key that sorts by (block, index)."""
-    return F.concat(F.lpad(col(block).cast("string"), 12, "0"), F.lpad(col(index).cast("string"), width, "0"))
+def pad_zeros(text: Column | str, width: int) -> Column:
+    """Zeros in front up to the width; longer texts are kept whole."""
+    text = col(text)
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
+def sort_key(block: Column | str, index: Column | str) -> Column:
+    """Text key that sorts by (block, index), both non-negative; 19 digits hold any bigint."""
+    return F.concat(pad_zeros(col(block).cast("string"), 19), pad_zeros(col(index).cast("string"), 19))
 
 
 def tick_price(tick: Column | str, d0: int = 0, d1: int = 0) -> Column:
@@ -94,8 +100,8 @@ def hex_word(data: Column | str, word: int, width: int = 64) -> Column:
 
 
 def hex_to_number(text: Column | str) -> Column:
-    """Hex text to double, folded in 8-digit chunks so that no chunk overflows."""
-    padded = F.lpad(col(text), 64, "0")
+    """Hex text to double, folded in 8-digit chunks so that no chunk overflows; NULL beyond 64 digits."""
+    padded = F.when(F.length(col(text)) <= 64, F.lpad(col(text), 64, "0"))
     total = F.lit(0.0)
     for i in range(8):
         chunk = F.conv(F.substring(padded, i * 8 + 1, 8), 16, 10).cast("double")

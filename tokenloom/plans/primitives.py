@@ -229,9 +229,9 @@ def _(t):
     )
 
 
-@report("b12_sort_key", sql("ev", "select lpad(cast(block as varchar), 12, '0') || lpad(cast(idx as varchar), 3, '0') as ky, event_id from ev"))
+@report("b12_sort_key", sql("ev", "select lpad(cast(block as varchar), 19, '0') || lpad(cast(idx as varchar), 19, '0') as ky, event_id from ev"))
 def _(t):
-    return t.ev.select(B.sort_key("block", "idx", 3).alias("ky"), "event_id")
+    return t.ev.select(B.sort_key("block", "idx").alias("ky"), "event_id")
 
 
 @report("b13_tick_price", sql("ev", """

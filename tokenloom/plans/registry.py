@@ -44,7 +44,8 @@ def rnd(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 
 
 def _addr(x: str) -> str:
-    return f"'0x' || lpad(cast({x} + 1 as varchar), 8, '0')"
+    text = f"cast({x} + 1 as varchar)"
+    return f"'0x' || lpad({text}, cast(greatest(8, length({text})) as integer), '0')"
 
 
 def _values(rows: list[tuple], names: str, dates: tuple[str, ...] = ()) -> str:

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ZERO
+from ..functions.scalar import ZERO, pad_zeros
 
 EVENTS_START, EVENTS_AS_OF = "2024-01-01", "2024-01-31"
 ORDERS_START, ORDERS_AS_OF = "1995-01-01", "2001-08-01"
@@ -21,8 +21,9 @@ MONEY = "decimal(18,2)"
 
 
 def addr(c: Column | str) -> Column:
+    """Eight digits at least; longer ids keep all of theirs."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.concat(F.lit("0x"), F.lpad((c + 1).cast("string"), 8, "0"))
+    return F.concat(F.lit("0x"), pad_zeros((c + 1).cast("string"), 8))
 
 
 def ratio4(num: Column, den: Column) -> Column:
