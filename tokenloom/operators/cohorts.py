@@ -206,12 +206,15 @@ def band_share(iv: DataFrame) -> DataFrame:
 def holding_times(daily: DataFrame, as_of: str, width: int = 30, bands: int = 5) -> DataFrame:
     """Holders by time from first position to exit, in bands of ``width`` days.
 
-    ``daily`` has the net change per holder and active day. As in the source
-    the exit is the last active day whose net change is zero; others hold until
-    ``as_of``. Bands are closed below and open above, the last one is open.
+    ``daily`` has the net change per holder and active day up to ``as_of``. Who
+    has nothing left (a balance of zero or less) went out on the last day the
+    balance changed, or at once if it never did; others hold until ``as_of``.
+    The last balance is the sum of the changes, so no running sum is needed.
+    Bands are closed below and open above, the last one is open.
     """
-    per = daily.groupBy("holder").agg(F.min("day").alias("a"), F.max(F.when(F.col("change") == 0, F.col("day"))).alias("z"))
-    kept = F.datediff(F.coalesce("z", F.lit(as_of).cast("date")), F.col("a"))
+    moved = F.max(F.when(F.col("change") != 0, F.col("day")))
+    per = daily.groupBy("holder").agg(F.min("day").alias("a"), F.coalesce(moved, F.min("day")).alias("z"), F.sum("change").alias("left"))
+    kept = F.datediff(F.when(F.col("left") > 0, F.lit(as_of).cast("date")).otherwise(F.col("z")), F.col("a"))
     seq = F.least(F.floor(kept / F.lit(width)) + 1, F.lit(bands + 1))
     label = F.when(F.col("seq") > bands, F.lit(f"{bands}+ months")).otherwise(
         F.concat((F.col("seq") - 1).cast("string"), F.lit("-"), F.col("seq").cast("string"), F.lit(" months"))

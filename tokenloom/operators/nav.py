@@ -35,16 +35,28 @@ def membership(comp: DataFrame, bucket: str, as_of: str) -> DataFrame:
     return scalar_join(span, end).select("component", "in_time", out.alias("out_time"))
 
 
-def basket_nav(comp: DataFrame, prices: DataFrame, bucket: str, as_of: str) -> DataFrame:
-    """Sum over member components of price times last known units, per price time.
-
-    prices: (component, bucket, price), one row per component and time step.
+def basket_nav(comp: DataFrame, prices: DataFrame, bucket: str, as_of: str, step: str = "1 day") -> DataFrame:
+    """Sum over member components of last known price times last known units, per calendar step.
+
+    prices: (component, bucket, price), one row per component and time; all
+    buckets lie on the calendar of ``step``. A component's value changes only
+    where its price or units do, so it is an interval until its next row, and
+    a step without a trade counts with the price before it. Members without
+    any price so far do not count.
     """
-    m = membership(comp, bucket, as_of)
-    rows = prices.join(m, "component").where((F.col(bucket) >= F.col("in_time")) & (F.col(bucket) <= F.col("out_time")))
-    rows = rows.join(comp, ["component", bucket], "left")
-    held = W.last_known("units", ["component"], bucket)
-    return rows.select(bucket, (dbl("price") * held).alias("v")).groupBy(bucket).agg(F.sum("v").alias("nav"))
+    kind, none, one = dict(prices.dtypes)[bucket], F.lit(None).cast("double"), F.expr(f"interval {step}")
+    seen = stack(
+        prices.select("component", bucket, dbl("price").alias("price"), none.alias("units")),
+        comp.select("component", bucket, none.alias("price"), dbl("units").alias("units")),
+    ).groupBy("component", bucket).agg(F.max("price").alias("price"), F.max("units").alias("units"))
+    known = seen.select(
+        "component", bucket, (W.last_known("price", ["component"], bucket) * W.last_known("units", ["component"], bucket)).alias("v"),
+        W.following(bucket, ["component"], bucket).alias("_next"),
+    ).where(F.col("v").isNotNull())
+    spans = known.join(membership(comp, bucket, as_of), "component").select(
+        "v", F.greatest(bucket, "in_time").alias("_from"), F.least((F.col("_next") - one).cast(kind), F.col("out_time")).alias("_to")
+    ).where(F.col("_from") <= F.col("_to"))
+    return spans.select("v", F.explode(F.sequence("_from", "_to", one)).alias(bucket)).groupBy(bucket).agg(F.sum("v").alias("nav"))
 
 
 def nav_vs_market(nav: DataFrame, market: DataFrame, bucket: str, since: str | None = None) -> DataFrame:

@@ -69,18 +69,23 @@ def order_key(df: DataFrame, order: Keys) -> Column | None:
     """One fixed-width sort key for one or two order columns, or None.
 
     Two whole-number (or time) columns such as (block, index) are packed into
-    one decimal; the second must not be negative.
+    one decimal of 38 digits where every value of their types fits, negative
+    ones too: a big second column needs a first one that is small or a time.
     """
     if len(order) == 1:
         return F.col(order[0])
     kinds = dict(df.dtypes)
     if len(order) != 2 or any(kinds[c] not in ("int", "bigint", "timestamp", "smallint") for c in order):
         return None
+    small = kinds[order[1]] in ("int", "smallint")
+    if not small and kinds[order[0]] == "bigint":
+        return None
 
     def whole(c: str) -> Column:
         return (F.unix_micros(c) if kinds[c] == "timestamp" else F.col(c)).cast("decimal(19,0)")
 
-    return (whole(order[0]) * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") + whole(order[1])
+    span = F.lit(str(2**32 if small else 2**64)).cast("decimal(20,0)")
+    return (whole(order[0]) * span).cast("decimal(38,0)") + whole(order[1])
 
 
 def row_at(df: DataFrame, part: Keys, cols: Keys, order: Keys, last: bool = True) -> DataFrame:

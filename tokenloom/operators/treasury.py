@@ -34,14 +34,15 @@ def token_balance_daily(change: DataFrame, as_of: str) -> DataFrame:
     return expand_intervals(step_intervals(run, ["token"], "day", as_of), "day", "next_day", "day")
 
 
-def _with_price(df: DataFrame, prices: DataFrame, how: str = "left") -> DataFrame:
-    return df.join(prices.select(F.col("symbol").alias("token"), "day", dbl("price").alias("price")), ["token", "day"], how)
+def _with_price(df: DataFrame, prices: DataFrame) -> DataFrame:
+    return df.join(prices.select(F.col("symbol").alias("token"), "day", dbl("price").alias("price")), ["token", "day"], "left")
 
 
 def treasury_over_time(change: DataFrame, prices: DataFrame, unit: str, start: str, end: str) -> DataFrame:
     """Mean dollar value per token and period between two days."""
-    bal = token_balance_daily(change, end).where(F.col("day") >= F.lit(start).cast("date"))
-    usd = _with_price(bal, prices).withColumn("usd", dbl("balance") * F.coalesce("price", F.lit(0.0)))
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    bal = token_balance_daily(change.where(F.col("day") <= last), end).where(F.col("day") >= first)
+    usd = _with_price(bal, prices.where(F.col("day").between(first, last))).withColumn("usd", dbl("balance") * F.coalesce("price", F.lit(0.0)))
     return usd.groupBy(F.to_date(F.date_trunc(unit, "day")).alias("period"), "token").agg(F.avg("usd").alias("avg_usd_value"))
 
 
@@ -49,11 +50,11 @@ def treasury_current(change: DataFrame, prices: DataFrame, end: str, by: Keys =
     """Balance and dollar value on the end day per token, or per wallet and token.
 
     A balance on a day is the sum of the changes up to it. Tokens without a
-    price that day count zero per token and are left out per wallet.
+    price that day are kept and count zero dollars, so both forms have one total.
     """
     day = F.lit(end).cast("date")
     bal = change.where(F.col("day") <= day).groupBy(*by).agg(F.sum("change").alias("balance")).withColumn("day", day)
-    j = _with_price(bal, prices, "left" if list(by) == ["token"] else "inner")
+    j = _with_price(bal, prices)
     return j.select(*by, "balance", (dbl("balance") * F.coalesce("price", F.lit(0.0))).alias("usd_value"))
 
 

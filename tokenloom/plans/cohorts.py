@@ -170,14 +170,15 @@ def _(t):
 
 
 @report("k14_holding_times", sql("ord", """,
-    c as (select wallet as holder, day, sum(case when o_orderstatus = 'O' then -amount else 0 end) as change from ord group by all),
-    p as (select holder, min(day) as a, max(day) filter (where change = 0) as z from c group by holder),
-    s as (select least(date_diff('day', a, coalesce(z, date '2001-08-01')) // 365 + 1, 6) as seq from p)
+    c as (select wallet as holder, day, sum(case when o_orderstatus = 'O' then -amount else amount end) as change from ord group by all),
+    b as (select holder, day, change, sum(change) over (partition by holder order by day) as balance, min(day) over (partition by holder) as a from c),
+    p as (select holder, a, arg_max(balance, day) as last_balance, coalesce(max(day) filter (where change <> 0), a) as z from b group by holder, a),
+    s as (select least(date_diff('day', a, case when last_balance > 0 then date '2001-08-01' else z end) // 365 + 1, 6) as seq from p)
     select seq, case when seq > 5 then '5+ months' else cast(seq - 1 as varchar) || '-' || cast(seq as varchar) || ' months' end as holding_time, count(*) as users
     from s group by all"""))
 def _(t):
     # order data spans years, so the bands are 365 days wide here
-    change = F.when(F.col("o_orderstatus") == "O", -F.col("amount")).otherwise(F.lit(0))
+    change = F.when(F.col("o_orderstatus") == "O", -F.col("amount")).otherwise(F.col("amount"))
     daily = t.orders.groupBy(F.col("wallet").alias("holder"), "day").agg(F.sum(change).alias("change"))
     return C.holding_times(daily, ORDERS_AS_OF, width=365)
 

@@ -477,7 +477,7 @@ def _trend_sql(src: str, value: str, first: bool, last: bool) -> str:
     b as (select *, lag(v, 7) over w as last_week, lag(v, 30) over w as last_month from a window w as (partition by symbol order by day)),
     c as (select *, (v - last_week) / nullif(last_week, 0) as wow, (v - last_month) / nullif(last_month, 0) as mom from b),
     d as (select *, avg(wow) over w as wm, avg(mom) over w as mm from c window w as (partition by symbol order by day rows 7 preceding))
-    select symbol, day, cast({value} as double) as {value}, last_week, last_month, wow, mom, round(wm, 9) as wow_ma, round(mm, 9) as mom_ma
+    select symbol, day, cast({value} as double) as "{value}", last_week, last_month, wow, mom, round(wm, 9) as wow_ma, round(mm, 9) as mom_ma
     from d where wow is not null and mom is not null
     {"qualify row_number() over (partition by symbol order by day desc) <= 7" if last else ""}"""
 
@@ -496,6 +496,12 @@ def _(t):
     return rnd(T.trend(mv, ["symbol"], "day", "amount", smooth_first=True, last_n=None), 9, "wow_ma", "mom_ma")
 
 
+@report("j27_trend_revenue", sql("revc", _trend_sql("revc", "revenue", False, False)))
+def _(t):
+    out = T.trend(constant_revenue(t).select("symbol", "day", "revenue"), ["symbol"], "day", "revenue", last_n=None)
+    return rnd(out, 9, "wow_ma", "mom_ma")
+
+
 @report("j28_step_series", sql("ev event_days", """,
     c as (select pool as product, day, arg_max(value, event_id) as cap from ev where event_type = 'click' group by all),
     n as (select *, lead(day, 1, date '2024-02-01') over (partition by product order by day) as nxt from c)
@@ -569,17 +575,27 @@ def _(t):
     return rnd(R.pnl(revlines(t), costs(t), "cumulative"), 1, "revenue", "cost", "profit")
 
 
-@report("j31_paired_transfer_price", sql("transfers", """,
-    x as (select * from transfers where token in ('P0', 'P1')),
+def _paired_sql(at: str) -> str:
+    return sql("transfers", f""",
+    x as (select *, date_trunc('minute', ts) as minute from transfers where token in ('P0', 'P1')),
     p as (select a.tx_hash, a.to_addr as pool, a.token as ta, cast(a.value as double) as va, cast(b.value as double) as vb
           from x a join x b on a.tx_hash = b.tx_hash and a.to_addr = b.from_addr and a.token <> b.token),
-    m as (select pool, tx_hash, min(day) as day from (select to_addr as pool, tx_hash, day from x union all select from_addr, tx_hash, day from x) group by all)
-    select m.day, round(avg(case when ta = 'P0' then va / vb else vb / va end), 6) as price, count(*) as pairs
-    from p join m on m.pool = p.pool and m.tx_hash = p.tx_hash group by m.day"""))
+    m as (select pool, tx_hash, min({at}) as {at} from (select to_addr as pool, tx_hash, {at} from x union all select from_addr, tx_hash, {at} from x) group by all)
+    select m.{at}, round(avg(case when ta = 'P0' then va / vb else vb / va end), 6) as price, count(*) as pairs
+    from p join m on m.pool = p.pool and m.tx_hash = p.tx_hash group by m.{at}""")
+
+
+@report("j31_paired_transfer_price", _paired_sql("day"))
 def _(t):
     return rnd(P.paired_transfer_price(t.transfers, "P0", "P1"), 6, "price")
 
 
+@report("j31_paired_transfer_price_minute", _paired_sql("minute"))
+def _(t):
+    rows = t.transfers.withColumn("minute", F.date_trunc("minute", "ts"))
+    return rnd(P.paired_transfer_price(rows, "P0", "P1", "minute"), 6, "price")
+
+
 @report("j32_revenue_split", sql("revc", """
     select symbol, day, streaming, mint_redeem, revenue, round(sum(streaming) over w, 1) as cum_streaming,
            round(sum(mint_redeem) over w, 1) as cum_mint_redeem, round(sum(revenue) over w, 1) as cum_revenue

@@ -390,11 +390,21 @@ define_view("comp", "ord lines", """
     from m join lines l on l.l_orderkey = m.o_orderkey group by all""")
 define_view("brand_px", "lines", f"""
     select brand as component, day, cast({_ratio4('sum(paid)', 'sum(qty)')} as decimal(18,4)) as price from lines group by all""")
-define_view("navs", "comp brand_px", """
-    with m as (select component, min(day) as i, case when max(day) < (select max(day) from comp) then max(day) else date '2001-08-01' end as o from comp group by component),
-    r as (select p.day, p.component, cast(p.price as double) as price, last_value(c.units ignore nulls) over (partition by p.component order by p.day rows unbounded preceding) as held
-          from brand_px p join m on m.component = p.component and p.day between i and o left join comp c on c.component = p.component and c.day = p.day)
-    select day, sum(price * held) as nav from r group by day""")
+
+
+
+def _nav_sql(comp: str, px: str, steps: str, at: str, as_of: str) -> str:
+    """Dense form: every component on every calendar step, both values carried."""
+    return f"""
+    with m as (select component, min({at}) as i, case when max({at}) < (select max({at}) from {comp}) then max({at}) else {as_of} end as o from {comp} group by component),
+    g as (select m.component, i, o, d.{at}, cast(p.price as double) as price, c.units from m cross join {steps} d
+          left join {px} p on p.component = m.component and p.{at} = d.{at} left join {comp} c on c.component = m.component and c.{at} = d.{at}),
+    r as (select {at}, i, o, last_value(price ignore nulls) over w * last_value(units ignore nulls) over w as v
+          from g window w as (partition by component order by {at} rows unbounded preceding))
+    select {at}, sum(v) as nav from r where {at} between i and o and v is not null group by {at}"""
+
+
+define_view("navs", "comp brand_px order_days", _nav_sql("comp", "brand_px", "order_days", "day", "date '2001-08-01'"))
 
 
 def basket(t: Tables):
@@ -426,6 +436,38 @@ def _(t):
     return rnd(N.nav_vs_market(nav(t), t.prices.where("symbol = 'P0'"), "day", since="2001-07-01"), 4, "nav")
 
 
+# finer steps, in the events family: a sign-up mints, the pools traded in its transaction are the components
+def _fine_views(unit: str) -> None:
+    define_view(f"comp_{unit}", "ev", f"""
+        with m as (select date_trunc('{unit}', ts) as {unit}, arg_max(tx_hash, event_id) as tx_hash, arg_max(value, event_id) as q from ev where event_type = 'signup' group by 1)
+        select m.{unit}, e.pool as component, cast(sum(e.value) as double) / nullif(cast(max(m.q) as double), 0) as units
+        from m join ev e on e.tx_hash = m.tx_hash where e.event_type in ('view', 'click') group by all""")
+    define_view(f"px_{unit}", "ev", f"""
+        select pool as component, date_trunc('{unit}', ts) as {unit}, cast({_ratio4('sum(value)', 'count(*)')} as decimal(18,4)) as price
+        from ev where event_type in ('view', 'click') group by all""")
+    define_view(f"steps_{unit}", "", f"select h as {unit} from generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 {unit}) g(h)")
+    define_view(f"navs_{unit}", f"comp_{unit} px_{unit} steps_{unit}", _nav_sql(f"comp_{unit}", f"px_{unit}", f"steps_{unit}", unit, "timestamp '2024-01-31'"))
+
+
+def fine_nav(t: Tables, unit: str):
+    """Basket value and pool price of P0 per hour or minute."""
+    e = t.ev.withColumn(unit, F.date_trunc(unit, "ts"))
+    traded = e.where(F.col("event_type").isin("view", "click"))
+    mints = e.where("event_type = 'signup'").select("tx_hash", unit, "event_id", F.col("value").alias("quantity"))
+    comp = N.composition(mints, traded.select("tx_hash", F.col("pool").alias("component"), F.col("value").alias("amount")), unit, ["event_id"])
+    px = traded.groupBy(F.col("pool").alias("component"), unit).agg(ratio4(F.sum("value"), F.count(F.lit(1))).alias("price"))
+    return N.nav_vs_market(N.basket_nav(comp, px, unit, EVENTS_AS_OF, f"1 {unit}"), px.where("component = 'P0'"), unit)
+
+
+for _unit in ("hour", "minute"):
+    _fine_views(_unit)
+
+    @report(f"m02_nav_vs_market_{_unit}", sql(f"navs_{_unit}", f"""
+        select p.{_unit}, cast(p.price as double) as market_price, round(nav, 4) as nav from px_{_unit} p left join navs_{_unit} n on n.{_unit} = p.{_unit} where p.component = 'P0'"""))
+    def _(t, unit=_unit):
+        return rnd(fine_nav(t, unit), 4, "nav")
+
+
 @report("m09_premium_discount", sql("navs prices", """,
     m as (select day, cast(sum(price) over w as double) / count(price) over w as market_price from prices where symbol = 'P0' window w as (order by day rows 11 preceding))
     select n.day, round(nav, 4) as nav, market_price, round((market_price - nav) / nullif(nav, 0), 9) as premium

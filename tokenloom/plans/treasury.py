@@ -47,19 +47,19 @@ def _(t):
     return rnd(T.treasury_over_time(changes(t), t.prices, "month", "1996-01-01", "2000-12-31"), 4, "avg_usd_value")
 
 
-def _current(by: str, how: str) -> str:
+def _current(by: str) -> str:
     return sql("wchg prices", f"""
     select {by}, cast(balance as double) as balance, cast(balance as double) * coalesce(cast(price as double), 0) as usd_value
     from (select {by}, sum(change) as balance from wchg where day <= date '2000-12-31' group by all) b
-    {how} join prices p on p.symbol = b.token and p.day = date '2000-12-31'""")
+    left join prices p on p.symbol = b.token and p.day = date '2000-12-31'""")
 
 
-@report("n02_treasury_current", _current("token", "left"))
+@report("n02_treasury_current", _current("token"))
 def _(t):
     return T.treasury_current(changes(t), t.prices, "2000-12-31")
 
 
-@report("n02_treasury_current_by_account", _current("holder, token", ""))
+@report("n02_treasury_current_by_account", _current("holder, token"))
 def _(t):
     return T.treasury_current(changes(t), t.prices, "2000-12-31", by=("holder", "token"))
 
@@ -93,7 +93,7 @@ def _(t):
 
 @report("n05_backing", sql("osigned prices order_ledger", f""",
     c as (select holder, token, cast(sum(amount) as double) as balance from osigned where holder in {IN_POOLS} and day <= date '2000-12-31' group by all),
-    v as (select c.*, balance * cast(price as double) as usd from c join prices p on p.symbol = c.token and p.day = date '2000-12-31'),
+    v as (select c.*, balance * coalesce(cast(price as double), 0) as usd from c left join prices p on p.symbol = c.token and p.day = date '2000-12-31'),
     x as (select coalesce(sum(usd) filter (where holder = '0x00000004' and token = 'P1'), 0) as usd_P1, coalesce(sum(usd) filter (where holder = '0x00000004' and token = 'P2'), 0) as usd_P2,
                  coalesce(sum(balance) filter (where token = 'P0' and holder in ('0x00000005', '0x00000007')), 0) as locked from v),
     s as (select cast(sum(case when from_addr = '0x00000000' then value when to_addr = '0x00000000' then -value end) as double) as total_supply from order_ledger where token = 'P0')
