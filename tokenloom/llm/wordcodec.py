@@ -4,15 +4,18 @@ The vocabulary of word ends drops white space, ignores case and never joins two
 words, so a text has the ids of its white-space separated words in order. Each
 distinct word is encoded once and kept in a bounded cache of the worker, which
 forgets the words it met only once when it is full. Latin letters with marks
-behind them are two entries of the library's BPE model, every other word goes
-through the library's whole pipeline.
+behind them are two entries of the library's BPE model, each kept by itself, so
+a known word with another mark is put together from the cache. Every other word
+goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
-from itertools import chain
+from collections.abc import Sequence
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -21,10 +24,12 @@ from .common import bounds, slices, take_ranges
 WORD_FILE = "word_bpe_49k.json"
 STEP_BYTES = 2 << 20
 CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
-_SIMPLE = re.compile(r"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+_MARKS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # a-z and the letters of U+00C0 to U+00FF
 # bytes as the printable characters that byte-level vocabularies use: printable bytes stay, the others follow 255
 _STAY = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _STAY)}
+_OTHERS = [b for b in range(256) if b not in _STAY]
+_CHARS = "".join(chr(256 + _OTHERS.index(b) if b in _OTHERS else b) for b in range(256))
 
 
 def tokenizer_file(path: str | None = None, name: str = WORD_FILE) -> bytes:
@@ -59,34 +64,43 @@ class WordCodec:
         self._clear()
         self._add(keep, flat, lens)
 
-    def _add(self, words: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
+    def _add(self, words: Sequence[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
         self.starts = np.concatenate((self.starts, len(self.flat) + bounds(lens)[:-1]))
         self.lens = np.concatenate((self.lens, lens))
         self.flat = np.concatenate((self.flat, flat))
         self.hits = np.concatenate((self.hits, np.zeros(len(words), np.int32)))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
 
-    def _learn(self, words: list[bytes]) -> None:
-        tokenize = self.tokenizer.model.tokenize
-        plain = [w for w in words if w.isalpha()]  # a-z only, as the texts are in lower case
-        other = [w for w in words if not w.isalpha()]
-        ids = [[t.id for t in tokenize(w.decode())] if w.islower() else self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in plain]
-        pieces = dict(zip((w.decode() for w in plain if w.islower()), (i for w, i in zip(plain, ids) if w.islower())))
-        words, texts = plain + other, [w.decode() for w in other]
-        found = [_SIMPLE.fullmatch(t) for t in texts]
-        rest = iter(self.tokenizer.encode_batch_fast([t for t, m in zip(texts, found) if not m], add_special_tokens=False))
-        for m in found:
-            if not m:
-                ids.append(next(rest).ids)
-                continue
-            letters, marks = m[1].lower(), m[2]
-            for piece in (letters, marks):
-                if piece and piece not in pieces:
-                    text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_CHARS)
-                    pieces[piece] = [t.id for t in tokenize(text)]
-            ids.append(pieces[letters] + pieces[marks] if marks else pieces[letters])
+    def _ids(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._add(words, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())), lens)
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())), lens
+
+    def _model(self, keys: list[bytes], pieces: list[bytes]) -> None:
+        """Learn pieces (words of letters, or runs of marks) that are single entries of the model."""
+        if keys:
+            tokenize, text = self.tokenizer.model.tokenize, b"\n".join(pieces).decode().lower().encode()
+            texts = codecs.charmap_decode(text, "strict", _CHARS)[0].split(_CHARS[10])
+            self._add(keys, *self._ids([[t.id for t in tokenize(x)] for x in texts]))
+
+    def _learn(self, words: list[bytes]) -> None:
+        stems = [w.rstrip(_MARKS) for w in words]
+        simple = [s.islower() if s.isalpha() else _LETTERS.fullmatch(s) is not None for s in stems]
+        new = list({s for s, ok in zip(stems, simple) if ok}.difference(self.index))
+        self._model(new, new)
+        both = [(w, s, b" " + w[len(s) :]) for w, s, ok in zip(words, stems, simple) if ok and len(s) < len(w)]  # no word holds a space
+        marks = list({m for _, _, m in both}.difference(self.index))
+        self._model(marks, [m[1:] for m in marks])
+        if both:
+            joined, first, second = zip(*both)
+            codes = np.empty(2 * len(both), np.int64)
+            codes[::2] = np.fromiter(map(self.index.__getitem__, first), np.int64, len(both))
+            codes[1::2] = np.fromiter(map(self.index.__getitem__, second), np.int64, len(both))
+            self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
+            each = self.lens[codes]
+            self._add(joined, take_ranges(self.flat, self.starts[codes], each), each[::2] + each[1::2])
+        other = [w for w, ok in zip(words, simple) if not ok]
+        if other:
+            self._add(other, *self._ids([e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
@@ -95,13 +109,17 @@ class WordCodec:
             # special tokens are written in lower case, so texts with their brackets keep their case
             words = [_lowered(t).split() for t in texts[a:b]]
             flat = list(chain.from_iterable(words))
-            new = list(set(flat).difference(self.index))
-            if len(self.index) + len(new) > CACHE_WORDS or sum(map(len, new)) > CACHE_BYTES:
-                self._forget()
-                new = list(set(flat).difference(self.index))
-            if new:
-                self._learn(new)
-            codes = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+            codes = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+            missed = np.flatnonzero(codes < 0).tolist()
+            if missed:
+                new = set(map(flat.__getitem__, missed))
+                if len(self.index) + len(new) > CACHE_WORDS or sum(map(len, new)) > CACHE_BYTES:
+                    self._forget()
+                    self._learn(list(set(flat).difference(self.index)))
+                    codes = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+                else:
+                    self._learn(list(new))
+                    codes[missed] = np.fromiter(map(self.index.__getitem__, map(flat.__getitem__, missed)), np.int64, len(missed))
             self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
             each = self.lens[codes]
             flats.append(take_ranges(self.flat, self.starts[codes], each))
