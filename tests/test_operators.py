@@ -207,6 +207,29 @@ def test_statistics(spark):
     assert S.spearman(ties, "x", "y").first().rho == pytest.approx(0.8333333333)
 
 
+def test_basket_value_carries_prices(spark):
+    comp = spark.createDataFrame([(day(1), "A", 2.0), (day(1), "B", 1.0), (day(6), "A", 3.0)], "day date, component string, units double")
+    prices = spark.createDataFrame([("A", day(0), 5.0), ("B", day(2), 10.0), ("A", day(4), 6.0), ("C", day(2), 99.0)], "component string, day date, price double")
+    got = {r.day: r.nav for r in N.basket_nav(comp, prices, "day", str(day(8))).collect()}
+    # B was in no later mint, so it leaves after the first; A keeps its price on days without a trade
+    assert got == {day(1): 10.0, day(2): 10.0, day(3): 10.0, day(4): 12.0, day(5): 12.0, day(6): 18.0, day(7): 18.0, day(8): 18.0}
+
+
+def test_holding_time_ends_at_an_empty_balance(spark):
+    moves = [("sold", 0, 5), ("sold", 40, -5), ("kept", 0, 5), ("kept", 10, 0), ("in-out", 3, 0), ("left", 0, 2), ("left", 5, -2), ("left", 70, 0)]
+    daily = spark.createDataFrame([(h, day(n), c) for h, n, c in moves], "holder string, day date, change int")
+    got = {r.seq: r.users for r in C.holding_times(daily, str(day(100))).collect()}
+    assert got == {2: 1, 4: 1, 1: 2}
+
+
+def test_packed_order_keys_hold_every_value(spark):
+    rows = [("a", -1, 5), ("a", -1, -(2**31)), ("a", 2**62, 2**31 - 1), ("a", 2**62, -7), ("b", -5, -3), ("b", -5, -2)]
+    for kind in ("int", "bigint"):
+        df = spark.createDataFrame([(k, x, y) for k, x, y in rows], f"k string, x bigint, y {kind}").withColumn("v", F.concat_ws("/", "x", "y"))
+        got = {r.k: r.v for r in T.closing(df, ["k"], ["v"], ["x", "y"]).collect()}
+        assert got == {"a": f"{2**62}/{2**31 - 1}", "b": "-5/-2"}
+
+
 def test_keys_are_never_cut(spark):
     from tokenloom.functions.scalar import hex_to_number, norm_address, sort_key
     from tokenloom.sources.canonical import addr

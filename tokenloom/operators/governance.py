@@ -187,9 +187,14 @@ def drop_zero_power(votes: DataFrame) -> DataFrame:
     return votes.join(zero, "proposal", "left_anti")
 
 
+def closed(proposals: DataFrame) -> DataFrame:
+    """Proposals whose vote is over."""
+    return proposals.where(F.col("state") == "closed")
+
+
 def deciding_votes(votes: DataFrame, proposals: DataFrame, pass_share: Mapping[str, float]) -> DataFrame:
-    """Winning votes with their part of the coalition, and whether the switch of this voter flips the result."""
-    p = proposals.select(F.col("proposal_id").alias("proposal"), "category", "scores", "scores_total", "votes", "reached_quorum", "result")
+    """Winning votes of closed proposals with their part of the coalition, and whether the switch of this voter flips the result."""
+    p = closed(proposals).select(F.col("proposal_id").alias("proposal"), "category", "scores", "scores_total", "votes", "reached_quorum", "result")
     j = votes.join(p, "proposal").where(F.col("choice") == F.col("result"))
     coalition = dbl(F.element_at("scores", F.col("choice").cast("int")))
     j = j.withColumns({"coalition_vp": coalition, "coalition_contribution": safe_div("vp", coalition)})

@@ -14,6 +14,7 @@ from .treasury import POOLS
 QUORUM, THRESHOLD = 14000.0, 0.6
 RULES = [("Gate 1", "G1"), ("Gate 2", "G2"), ("Plan", "PLAN")]
 PASS = {"G2": 0.6}
+OPEN_WEEK = "2024-01-29"  # votes of the last week are still open
 
 define_view("nonvoting", "tags", "select distinct address from tags where type = 'contract'")
 define_view("ranked", "holders nonvoting", """
@@ -48,7 +49,7 @@ define_view("winning", "votes props", """
                 when (scores_total - ((case when choice = 1 then f else a end) - cast(v.vp as double))) / scores_total
                      > case when category = 'G2' then (case when choice = 2 then 0.6::double else 1 - 0.6::double end) else 0.5::double end then 'Was Deciding Voter'
                 else 'Not Deciding Voter' end as is_deciding_vote
-    from votes v join props p on p.proposal_id = v.proposal where choice = result""")
+    from votes v join props p on p.proposal_id = v.proposal where choice = result and split_part(v.proposal, '/', 2) < '2024-01-29'""")
 
 
 def nonvoting(t: Tables):
@@ -83,7 +84,7 @@ def proposals(t: Tables):
     return v.select(
         F.col("proposal").alias("proposal_id"), F.concat(word, F.col("proposal")).alias("title"),
         F.when(kind == "error", F.array(F.lit("for"), F.lit("against"), F.lit("abstain"))).otherwise(two).alias("choices"),
-        F.array("f", "a").alias("scores"), "scores_total", "votes",
+        F.array("f", "a").alias("scores"), "scores_total", "votes", F.when(F.split("proposal", "/")[1] == OPEN_WEEK, F.lit("active")).otherwise(F.lit("closed")).alias("state"),
     )
 
 
@@ -192,7 +193,7 @@ def _(t):
 
 @report("o09_clean_proposals", sql("props", "select proposal_id, title, scores_total, votes, category, reached_quorum, percentage_for, cast(result as bigint) as result from props"))
 def _(t):
-    return cleaned(t).drop("choices", "scores")
+    return cleaned(t).drop("choices", "scores", "state")
 
 
 @report("o10_drop_zero_power", sql("ev", """,

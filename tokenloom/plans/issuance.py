@@ -8,11 +8,13 @@ from ..functions.scalar import safe_div, split_list
 from ..functions.windows import previous
 from ..operators import flows as FL
 from ..operators import issuance as I
+from ..operators import ledger as L
 from ..operators import prices as P
 from ..operators import revenue as R
 from ..operators import timeseries as T
 from ..sources.canonical import EVENTS_AS_OF, EVENTS_START, ORDERS_AS_OF, ORDERS_START, Tables
 from ..sources.seeds import fees, products
+from .ledger import changes as holder_changes
 from .registry import define_view, report, rnd, sql
 
 SYMBOLS = ["P0", "P1", "P2", "P3", "P4"]
@@ -470,11 +472,11 @@ def _(t):
     return FL.buys_sells(t.trades, t.prices, SYMBOLS)
 
 
-def _trend_sql(src: str, value: str, first: bool, last: bool) -> str:
+def _trend_sql(src: str, value: str, first: bool, last: bool, month: int = 30) -> str:
     v = f"cast(sum({value}) over w8 as double) / count({value}) over w8" if first else f"cast({value} as double)"
     return f"""
     , a as (select *, {v} as v from {src} window w8 as (partition by symbol order by day rows 7 preceding)),
-    b as (select *, lag(v, 7) over w as last_week, lag(v, 30) over w as last_month from a window w as (partition by symbol order by day)),
+    b as (select *, lag(v, 7) over w as last_week, lag(v, {month}) over w as last_month from a window w as (partition by symbol order by day)),
     c as (select *, (v - last_week) / nullif(last_week, 0) as wow, (v - last_month) / nullif(last_month, 0) as mom from b),
     d as (select *, avg(wow) over w as wm, avg(mom) over w as mm from c window w as (partition by symbol order by day rows 7 preceding))
     select symbol, day, cast({value} as double) as "{value}", last_week, last_month, wow, mom, round(wm, 9) as wow_ma, round(mm, 9) as mom_ma
@@ -502,6 +504,22 @@ def _(t):
     return rnd(out, 9, "wow_ma", "mom_ma")
 
 
+@report("j27_trend_trading_volume", sql("vol", ", vols as (select product as symbol, day, usd_volume from vol)" + _trend_sql("vols", "usd_volume", True, False).lstrip()))
+def _(t):
+    v = volume(t).select(F.col("product").alias("symbol"), "day", "usd_volume")
+    return rnd(T.trend(v, ["symbol"], "day", "usd_volume", smooth_first=True, last_n=None), 9, "wow_ma", "mom_ma")
+
+
+@report("j27_trend_holders", sql("daily_bal event_days", """,
+    tk as (select distinct token from daily_bal where balance > 0),
+    counts as (select tk.token as symbol, d.day, count(distinct b.holder) as holders
+               from tk cross join event_days d left join daily_bal b on b.token = tk.token and b.day = d.day and b.balance > 0 group by all)"""
+    + _trend_sql("counts", "holders", False, True).lstrip()))
+def _(t):
+    counts = L.holder_count(holder_changes(t), EVENTS_START, EVENTS_AS_OF).withColumnRenamed("token", "symbol").withColumn("holders", F.col("holders").cast("double"))
+    return rnd(T.trend(counts, ["symbol"], "day", "holders"), 9, "wow_ma", "mom_ma")
+
+
 @report("j28_step_series", sql("ev event_days", """,
     c as (select pool as product, day, arg_max(value, event_id) as cap from ev where event_type = 'click' group by all),
     n as (select *, lead(day, 1, date '2024-02-01') over (partition by product order by day) as nxt from c)

@@ -12,9 +12,10 @@ from ..operators import lending as D
 from ..operators import liquidity as Q
 from ..operators import nav as N
 from ..operators import prices as P
-from ..operators.timeseries import closing
+from ..operators.timeseries import closing, trend
 from ..sources.canonical import EVENTS_AS_OF, EVENTS_START, ORDERS_AS_OF, Tables, ratio4
 from ..sources.seeds import products
+from .issuance import _trend_sql
 from .registry import _ratio4, define_view, report, rnd, sql
 
 AS_OF_X = "date '2024-02-01'"  # first day after the last one of the events family
@@ -383,6 +384,17 @@ def _(t):
     return rnd(Q.supply_breakdown_total(breakdown(t)), 6, "tvl", "itvl", "utvl", "liquidity_value")
 
 
+@report("j27_trend_supply_parts", sql("brk", """,
+    parts as (select symbol || '/' || part as symbol, day, amount from (
+      select symbol, day, unnest(['incentivized', 'unincentivized', 'liquidity']) as part, unnest([incentivized, unincentivized, liquidity]) as amount from brk))"""
+    + _trend_sql("parts", "amount", False, True, 14).lstrip()))
+def _(t):
+    # the events span one month, so the longer change is one over 14 days
+    parts = breakdown(t).unpivot(["symbol", "day"], ["incentivized", "unincentivized", "liquidity"], "part", "amount")
+    rows = parts.select(F.concat_ws("/", "symbol", "part").alias("symbol"), "day", "amount")
+    return rnd(trend(rows, ["symbol"], "day", "amount", month=14), 9, "wow_ma", "mom_ma")
+
+
 # baskets: an order is a mint, its lines are the components that went in
 define_view("comp", "ord lines", """
     with m as (select day, arg_max(o_orderkey, o_orderkey) as o_orderkey, arg_max(amount, o_orderkey) as q from ord group by day)

@@ -520,9 +520,14 @@ def _(t):
 
 
 @report("d17_describe", sql("holders", """
-    select count(*) as n, cast(sum(balance) as double) / count(*) as mean, round(stddev(balance), 6) as std, cast(min(balance) as double) as min, cast(max(balance) as double) as max from holders"""))
-def _(t):
-    return rnd(A.describe(t.holders, "balance"), 6, "std")
+    select count(*) as n, cast(sum(balance) as double) / count(*) as mean, round(stddev(balance), 6) as std, cast(min(balance) as double) as min, cast(max(balance) as double) as max,
+           round(quantile_cont(cast(balance as double), 0.25), 6) as p25, round(quantile_cont(cast(balance as double), 0.5), 6) as p50, round(quantile_cont(cast(balance as double), 0.75), 6) as p75
+    from holders"""))
+def _(t):
+    out = A.describe(t.holders, "balance")
+    for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        out = J.scalar_join(out, exact_quantile(t.holders, [], "balance", p, name))
+    return rnd(out, 6, "std", "p25", "p50", "p75")
 
 
 @report("d18_with_total", sql("ord", """
