@@ -23,7 +23,7 @@ from .common import bounds, slices, take_ranges
 
 WORD_FILE = "word_bpe_49k.json"
 STEP_BYTES = 2 << 20
-CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
+CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
 _MARKS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # a-z and the letters of U+00C0 to U+00FF
 # bytes as the printable characters that byte-level vocabularies use: printable bytes stay, the others follow 255
