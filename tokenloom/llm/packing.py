@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bounds, in_steps, list_array, materialise
-from .wordcodec import codec, tokenizer_file, with_end
+from .wordcodec import codec, release, tokenizer_file, with_end
 
 SIZE = 4096
 PIECE_SCHEMA = "doc_id bigint, start bigint, length int, doc_tokens bigint, part int, nth bigint, ids_crc32 bigint"
@@ -130,6 +130,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, s
                 pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth, pa.int64()), pa.array(crc, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays([*columns, list_array(ids, length, pa.int32())] if with_ids else columns, names)
+        release()
 
     return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema), "pieces")
 

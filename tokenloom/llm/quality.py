@@ -66,7 +66,8 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None) ->
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def text_view(text: pa.Array) -> pa.Array:
-    return pa.array([text_features(x) for x in as_bytes(text)], pa.list_(pa.float64()))
+    parts = (as_bytes(text.slice(a, 256)) for a in range(0, len(text), 256))  # few texts are copied at a time
+    return pa.array([text_features(x) for part in parts for x in part], pa.list_(pa.float64()))
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))

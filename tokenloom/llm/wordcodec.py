@@ -145,6 +145,11 @@ def codec(content: bytes) -> WordCodec:
     return _CODECS[content]
 
 
+def release() -> None:
+    """Drop the worker's codec, so that later stages find its memory free."""
+    _CODECS.clear()
+
+
 def with_end(flat: np.ndarray, lens: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same lists, each closed with the id ``end``."""
     return np.insert(flat, np.cumsum(lens), end).astype(np.int32), lens + 1
