@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import bloom
-from .common import as_bytes, fresh, materialise
+from .common import as_bytes, fresh, materialise, small_batches
 
 
 @F.arrow_udf(T.BinaryType())
@@ -36,6 +36,7 @@ def text_sha(text: pa.Array) -> pa.Array:
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_sha256, keep_id, group_size, kept."""
+    small_batches(docs.sparkSession)
     hashed = docs.select("doc_id", text_sha("text").alias("sha"))
     tested = materialise(hashed.withColumn("maybe", bloom(hashed, "sha", hits=2)("sha")), "dedup-tested")
     alone = tested.where("not maybe").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
@@ -50,6 +51,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
+    small_batches(docs.sparkSession)
     sha, keep, maybe = fresh(docs, "text_sha", "keep_id", "maybe")
     hashed = docs.withColumn(sha, text_sha("text"))
     tested = hashed.withColumn(maybe, bloom(hashed.select(sha), sha, hits=2)(sha))

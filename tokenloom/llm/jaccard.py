@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom
-from .common import as_bytes, bounds, fresh, in_steps, materialise, runs, slices, take_ranges
+from .common import as_bytes, bounds, fresh, in_steps, materialise, runs, slices, small_batches, take_ranges
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9999, 128
 BLOCK = 400
@@ -267,6 +267,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_key, component and n_links of every document; written once."""
+    small_batches(docs.sparkSession)
     signed = signatures(docs, words, band_shape(threshold))
     grouped = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
     nodes = materialise(grouped, "nodes")

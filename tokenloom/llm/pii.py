@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, in_steps, materialise
+from .common import as_bytes, fresh, in_steps, materialise, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
@@ -204,6 +204,7 @@ def all_spans(text: pa.Array, added: pa.Array) -> pa.Array:
 
 def find_spans(docs: DataFrame, column: str = "spans") -> DataFrame:
     """The documents with all their spans (offsets in code points, end exclusive)."""
+    small_batches(docs.sparkSession)
     key, added = fresh(docs, "text_key", "added")
     more = added_spans(docs).withColumnsRenamed({"text_key": key, "added": added})
     keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))

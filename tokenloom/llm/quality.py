@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, materialise
+from .common import as_bytes, fresh, materialise, small_batches
 
 LABELLED, GROW, ROUNDS = 20_000, 500, 3
 SURE, REJECT = 0.95, 0.5
@@ -183,6 +183,7 @@ def fit(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Combined | None]:
+    small_batches(docs.sparkSession)
     a, b = views(docs)
     featured = materialise(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), a.alias("a"), b.alias("b")), "features")
     return featured, fit(featured, labels)
