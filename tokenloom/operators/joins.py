@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .timeseries import row_at
 
 Keys = Sequence[str]
+WIDE = 1000  # buckets a wide bucket holds
 
 
 def scd_join(fact: DataFrame, dim: DataFrame, keys: Keys, day: str, begin: str, end: str, how: str = "left") -> DataFrame:
@@ -60,6 +62,35 @@ def either_side_join(
     return out.withColumn("usd_amount", F.col("amount") * F.col("price"))
 
 
+def _wide(df: DataFrame) -> Column:
+    """Non-decreasing wide bucket of ``_b``: many numbers or dates, a day of times, the first field of a struct."""
+    kind = df.schema["_b"].dataType
+    if isinstance(kind, T.StructType):
+        return F.col("_b")[kind.names[0]]
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.to_date("_b")
+    return F.floor((F.unix_date("_b") if isinstance(kind, T.DateType) else F.col("_b")) / WIDE)
+
+
+def _carried(ends: DataFrame, keys: Keys, value: str, total: bool = False) -> DataFrame:
+    """Per key and bucket ``_b``: the last value before the bucket, or the sum of those before it.
+
+    Folded inside wide buckets first and then over them, so no window holds
+    all buckets of a hot key.
+    """
+    e = ends.withColumn("_w", _wide(ends))
+    whole = F.sum(value) if total else F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_b")))
+
+    def before(name: str, part: Keys, order: str) -> Column:
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.sum(name).over(w) if total else F.last(name, ignorenulls=True).over(w)
+
+    far = e.groupBy(*keys, "_w").agg(whole.alias("_all")).select(*keys, "_w", before("_all", keys, "_w").alias("_far"))
+    near = e.select(*keys, "_b", "_w", before(value, [*keys, "_w"], "_b").alias("_near"))
+    both = [F.col("_near") + F.col("_far")] if total else []
+    return near.join(far, [*keys, "_w"], "left").select(*keys, "_b", F.coalesce(*both, "_near", "_far").alias("_carry"))
+
+
 def asof_last(
     left: DataFrame,
     right: DataFrame,
@@ -81,9 +112,7 @@ def asof_last(
     both = lft.unionByName(r, allowMissingColumns=True)
     closing_rows = row_at(right.withColumn("_b", bucket), [*keys, "_b"], cols, order)
     ends = closing_rows.select(*keys, "_b", vals.alias("_end"))
-    seen = lft.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "full")
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = seen.select(*keys, "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    carry = _carried(lft.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "full"), keys, "_end")
     w = Window.partitionBy(*keys, "_b").orderBy(*order, "_tag").rowsBetween(Window.unboundedPreceding, 0)
     inside = both.withColumn("_in", F.last("_v", ignorenulls=True).over(w)).where("_left")
     out = inside.join(carry, [*keys, "_b"], "left").withColumn("_got", F.coalesce("_in", "_carry"))
@@ -98,7 +127,7 @@ def previous_row(df: DataFrame, keys: Keys, order: Keys, cols: Sequence[tuple[st
     b = df.withColumn("_b", bucket)
     names = [c for c, _ in cols]
     ends = row_at(b, [*keys, "_b"], names, order).select(*keys, "_b", F.struct(*names).alias("_end"))
-    carry = ends.select(*keys, "_b", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry"))
+    carry = _carried(ends, keys, "_end")
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     out = b.withColumn("_rn", F.row_number().over(w)).withColumns({f"_p_{n}": F.lag(c).over(w) for c, n in cols})
     out = out.join(carry, [*keys, "_b"], "left")
@@ -109,9 +138,7 @@ def previous_row(df: DataFrame, keys: Keys, order: Keys, cols: Sequence[tuple[st
 def running_total(df: DataFrame, keys: Keys, order: Keys, value: str, out: str, bucket: Column) -> DataFrame:
     """Running sum of event rows per key, cut into time buckets like :func:`previous_row`."""
     b = df.withColumn("_b", bucket)
-    totals = b.groupBy(*keys, "_b").agg(F.sum(value).alias("_t"))
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_b", F.sum("_t").over(earlier).alias("_carry"))
+    carry = _carried(b.groupBy(*keys, "_b").agg(F.sum(value).alias("_t")), keys, "_t", total=True)
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         b.withColumn("_in", F.sum(value).over(w))

@@ -227,7 +227,7 @@ def price_impact_v3(swaps: DataFrame, min_size: float, d0: int = 0, d1: int = 0)
     s = swaps.where(F.abs(F.col("amount1")) > min_size).withColumns({
         "paid": safe_div(F.abs(F.col("amount1")), F.abs(F.col("amount0"))), "after": sqrt_price("sqrt_x96", d0, d1),
     })
-    s = previous_row(s, ["pool"], ["block", "idx"], [("after", "before")], F.col("day"))
+    s = previous_row(s, ["pool"], ["block", "idx"], [("after", "before")], F.floor(F.col("block") / 1000))
     return s.select(
         "pool", "ts", F.lit("v3").alias("version"), dbl(F.abs(F.col("amount1"))).alias("size"),
         F.abs(safe_div(F.col("paid") - F.col("before"), "before") * 100).alias("price_impact"),

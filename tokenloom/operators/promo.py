@@ -75,7 +75,7 @@ def capped_outflow_events(bought: DataFrame, outs: DataFrame) -> DataFrame:
     """The same per transfer (holder, ts, day, tx_hash, amount), in time order."""
     b = bought.select("holder", to_int("bought").alias("bought"))
     rows = outs.withColumn("out", to_int("amount")).join(b, "holder")
-    run = running_total(rows, ["holder"], ["ts", "tx_hash"], "out", "_r", F.col("day"))
+    run = running_total(rows, ["holder"], ["ts", "tx_hash"], "out", "_r", F.date_trunc("minute", "ts"))
     return run.withColumn("charged", capped(F.col("out"), F.col("_r"), F.col("bought"))).where("charged <> 0").select(
         "holder", "day", "tx_hash", "bought", "out", "charged"
     )

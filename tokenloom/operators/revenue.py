@@ -96,11 +96,12 @@ def tx_costs(tags: Sequence[DataFrame], txs: DataFrame, price: DataFrame) -> Dat
     """Gas cost per day and kind of transaction, in dollars, as negative amounts.
 
     tags: (tx_hash, kind); txs: (tx_hash, minute, day, gas_price, gas_used);
-    price: (minute, price). Gas is added per (minute, kind) before the price
-    is joined.
+    price: (minute, price). Tags are counted per transaction before they meet
+    it, and gas is added per (minute, kind) before the price is joined.
     """
-    gas = stack(*tags).join(txs, "tx_hash")
-    eth = gas.groupBy("minute", "day", "kind").agg((F.sum(F.col("gas_price") * F.col("gas_used")).cast("double") / F.lit(1e18)).alias("eth"))
+    counted = stack(*tags).groupBy("tx_hash", "kind").agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("_n"))
+    gas = counted.join(txs, "tx_hash")
+    eth = gas.groupBy("minute", "day", "kind").agg((F.sum(F.col("gas_price") * F.col("gas_used") * F.col("_n")).cast("double") / F.lit(1e18)).alias("eth"))
     usd = eth.join(price.select("minute", dbl("price").alias("price")), "minute", "left")
     return usd.groupBy("day", F.concat(F.lit("cost - "), F.col("kind")).alias("detail")).agg((-F.sum(F.col("eth") * F.col("price"))).alias("amount"))
 

@@ -549,10 +549,7 @@ define_view("revlines", "revc", """
 
 
 def costs(t: Tables):
-    tags = [
-        t.raw("lineitem").where(F.col("l_returnflag") == f).select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("tx_hash"), F.lit(f).alias("kind"))
-        for f in ("A", "N", "R")
-    ]
+    tags = [t.raw("lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("tx_hash"), F.col("l_returnflag").alias("kind"))]
     txs = t.orders.select(
         "tx_hash", F.col("ts").alias("minute"), "day",
         ((F.col("o_custkey") + 1) * 1000000000).cast("decimal(18,0)").alias("gas_price"), (F.col("o_orderkey") + 21000).cast("decimal(12,0)").alias("gas_used"),

@@ -76,7 +76,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         select event_id, ts, day, block, idx, tx_hash, 'P' || cast(event_id % 5 as varchar) as token,
                case when event_type = 'signup' then '0x00000000' else address end as from_addr,
                case when event_type = 'error' then '0x00000000' when event_type = 'signup' then address
-                    else {_addr('((user_id * 7 + event_id) % 150)')} end as to_addr,
+                    else {_addr('((event_id * 7) % (user_id + 1))')} end as to_addr,
                value
         from ev"""),
     "event_prices": ("ev", f"""
@@ -94,7 +94,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         select ts, day, o_orderkey as block, 0 as idx, tx_hash, symbol as token,
                case when o_orderstatus = 'F' then '0x00000000' else wallet end as from_addr,
                case when o_orderstatus = 'O' then '0x00000000' when o_orderstatus = 'F' then wallet
-                    else {_addr('((o_custkey * 3 + o_orderkey) % 997)')} end as to_addr,
+                    else {_addr('((o_orderkey * 3) % (o_custkey + 1))')} end as to_addr,
                amount as value
         from ord"""),
     "lines": ("", """

@@ -16,7 +16,6 @@ from ..functions.scalar import ZERO, pad_zeros
 
 EVENTS_START, EVENTS_AS_OF = "2024-01-01", "2024-01-31"
 ORDERS_START, ORDERS_AS_OF = "1995-01-01", "2001-08-01"
-USERS = 150  # receivers of transfers are the first users
 MONEY = "decimal(18,2)"
 
 
@@ -63,7 +62,7 @@ class Tables:
 
     @cached_property
     def transfers(self) -> DataFrame:
-        other = addr(F.pmod(F.col("user_id") * 7 + F.col("event_id"), F.lit(USERS)))
+        other = addr(F.pmod(F.col("event_id") * 7, F.col("user_id") + 1))  # any user up to the sender, so receivers grow with the users
         et = F.col("event_type")
         return self.ev.select(
             "event_id", "ts", "day", "block", "idx", "tx_hash",
@@ -136,7 +135,7 @@ class Tables:
     @cached_property
     def order_ledger(self) -> DataFrame:
         st = F.col("o_orderstatus")
-        other = addr(F.pmod(F.col("o_custkey") * 3 + F.col("o_orderkey"), F.lit(997)))
+        other = addr(F.pmod(F.col("o_orderkey") * 3, F.col("o_custkey") + 1))
         return self.orders.select(
             "ts", "day", F.col("o_orderkey").alias("block"), F.lit(0).alias("idx"), "tx_hash", F.col("symbol").alias("token"),
             F.when(st == "F", F.lit(ZERO)).otherwise(F.col("wallet")).alias("from_addr"),
