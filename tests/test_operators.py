@@ -67,7 +67,8 @@ def test_locf_keeps_leading_nulls_and_is_idempotent(spark):
 
 
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_asof_with_hot_key(spark, hot, inclusive):
+def test_asof_with_hot_key(spark, hot, inclusive, monkeypatch):
+    monkeypatch.setattr(J, "WIDE", 3)  # so that many wide buckets are crossed
     data, df = hot
     right = df.where("right").select("key", "seq", F.col("v").alias("w"))
     left = df.where(F.col("seq") % 2 == 0).select("key", "seq")
@@ -80,7 +81,8 @@ def test_asof_with_hot_key(spark, hot, inclusive):
     assert {r.seq: r.w for r in out.collect()} == want
 
 
-def test_previous_and_running_with_hot_key(spark, hot):
+def test_previous_and_running_with_hot_key(spark, hot, monkeypatch):
+    monkeypatch.setattr(J, "WIDE", 3)
     data, df = hot
     cut = F.floor(F.col("seq") / 100)
     prev = {r.seq: r.p for r in J.previous_row(df.select("key", "seq", "v"), ["key"], ["seq"], [("v", "p")], cut).collect()}
