@@ -68,6 +68,30 @@ def test_patterns_find_unseen_identifiers(spark):
     assert all(out[200 + i] == [] for i in range(20))  # clean documents stay clean
 
 
+def test_one_side_is_enough(spark):
+    pad = " " * 60 + "\n"
+    seeds = [(i, f"note {i}\nphone: +1 (555) 555-{1000 + i} {'abcdefghij'[i % 10] * (i + 1)} free text") for i in range(30)]
+    seeds += [(50 + i, f"{'klmnopqrst'[i % 10] * (i + 1)} user{i}@mail.example.com is my address") for i in range(30)]
+    unseen = {
+        100: (3, "see\nphone: ", "5554321987", " varying words behind"), 101: (3, "other\nphone:" + pad, "555-432-1988", ""),
+        102: (3, "phone: ", "5554321989", " x"), 103: (0, "some text ", "user7_at_mail", " is my address"), 104: (0, "", "user8_at_mail", pad + "is my address"),
+    }
+    clean = [(200 + i, f"version 20{i}0101 of {'uvwxyz'[i % 6] * i} | | |") for i in range(10)]
+    docs = spark.createDataFrame(seeds + [(i, a + x + b) for i, (_, a, x, b) in unseen.items()] + clean, "doc_id long, text string")
+    out = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_spans(docs).collect()}
+    for i, (kind, a, x, _) in unseen.items():
+        assert out[i] == [(kind, len(a), len(a) + len(x), False)]
+    assert all(out[i] == [] for i, _ in clean)
+
+
+def test_context_is_read_by_tokens():
+    text = "a" * 500 + " " * 300 + "tel" + " " * 200 + "123456" + "\n" * 100 + "b" * 300 + " c d"
+    at = text.index("123456")
+    assert pii.context(text, at, 3, False)[0] == "<s>" and pii.context(text, at, 2, False) == [pii.instance_name("a" * 500), "tel"]
+    assert pii.context(text, at + 6, 2, True) == [pii.instance_name("b" * 300), "c"]
+    assert pii.patterns("| 5 | 123456 | 5 |", 6, 12) == []
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.de now", 17), (2, None, None), (3, "+1 (555) 555-0199, 4111 1111 1111 1111", 38), (4, "clean", 5)], "doc_id long, text string, n_chars long")
     out = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs).collect()}

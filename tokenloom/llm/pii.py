@@ -6,8 +6,9 @@
    around an occurrence induce lexical patterns. Spark scores the graph of
    patterns and instances in rounds: a pattern's confidence for a kind is the
    weight of its known instances of that kind over all its instances; an
-   unknown instance that high-confidence patterns of one kind surround (in front
-   and behind) becomes known and counts in the next round.
+   unknown instance that a high-confidence pattern vouches for, in front of it or
+   behind, becomes known and counts in the next round. Where patterns of several
+   kinds vouch, the kind with the highest joint score holds.
 3. Occurrences of instances found this way are added to the base spans of
    their text, unless they touch one.
 
@@ -120,12 +121,24 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[i
             yield start, end
 
 
+def context(text: str, at: int, n: int, behind: bool) -> list[str]:
+    """The n tokens in front of a place or behind it, whole however long; digits count alike, ``<s>`` is the text's border."""
+    size, ended, found = 48, False, []
+    while not ended and len(found) <= n:  # one token more than needed: the outermost may be cut
+        ended = size >= (len(text) - at if behind else at)
+        found = _WORDS.findall(text[at : at + size] if behind else text[max(0, at - size) : at])
+        size *= 4
+    words = ["#" if t.isdigit() else instance_name(t.lower()) for t in (found[:n] if behind else found[-n:])]
+    border = ["<s>"] * (len(words) < n)
+    return words + border if behind else border + words
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """Two and three tokens in front of the place, two behind it; digits count alike."""
-    left = ["#" if t.isdigit() else t for t in _WORDS.findall(text[max(0, start - 48) : start].lower())]
-    right = ["#" if t.isdigit() else t for t in _WORDS.findall(text[end : end + 48].lower())]
-    out = [f"{' '.join(left[-n:])} _" for n in (2, 3) if len(left) >= n]
-    return out + ([f"_ {' '.join(right[:2])}"] if len(right) >= 2 else [])
+    """Two and three tokens in front of the place, and behind it; a pattern holds a word, as symbols and numbers alone are layout."""
+    left, right = context(text, start, 3, False), context(text, end, 3, True)
+    worded = [[any(map(str.isalpha, t)) and t != "<s>" for t in side] for side in (left, right)]
+    out = [f"{' '.join(left[-n:])} _" for n in (2, 3) if len(left) >= n and any(worded[0][-n:])]
+    return out + [f"_ {' '.join(right[:n])}" for n in (2, 3) if len(right) >= n and any(worded[1][:n])]
 
 
 def instance_name(text: str) -> str:
@@ -173,10 +186,9 @@ def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
         good = scored.withColumn("top", top).select("pattern", "seeds", F.col("top.kind").alias("kind"), (F.col("top.w") / F.col("n")).alias("confidence"))
         trusted = materialise(good.where((F.col("seeds") >= support) & (F.col("confidence") >= confidence)), "pii-patterns")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-        behind = F.col("pattern").startswith("_")
-        vouched = edges.where("seed < 0").join(trusted, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("score"), F.min(behind).alias("all_behind"), F.max(behind).alias("any_behind"))
-        one = vouched.where("any_behind and not all_behind").groupBy("instance").agg(F.max_by(F.struct("kind", "score"), F.struct("score", -F.col("kind"))).alias("b"), F.count(F.lit(1)).alias("kinds"))
-        known = materialise(one.where((F.col("kinds") == 1) & (F.col("b.score") >= confidence)).select("instance", "b.kind", "b.score"), "pii-known")
+        vouched = edges.where("seed < 0").join(trusted, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("score"))
+        best = vouched.groupBy("instance").agg(F.max_by(F.struct("kind", "score"), F.struct("score", -F.col("kind"))).alias("b"))
+        known = materialise(best.where(F.col("b.score") >= confidence).select("instance", "b.kind", "b.score"), "pii-known")
     return known.select("instance", "kind")
 
 
