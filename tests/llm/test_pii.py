@@ -92,6 +92,37 @@ def test_context_is_read_by_tokens():
     assert pii.patterns("| 5 | 123456 | 5 |", 6, 12) == []
 
 
+def test_groups_are_one_candidate():
+    whole = {
+        "555 123 4567", "(555) 123-4567", "(555)123.4567", "555 (123) 4567", "(5551234)", "01 23 45 67 89", "3782 822463 10005", "1 800 555 1234",
+        "DE89 3704 0044 0532 0130 01", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "user7_at_mail", "12-345", "555-123-4567",
+    }
+    for x in whole:
+        for text in (x, f"call {x} now", f"call: {x}, or", f"(see {x})"):
+            assert not pii.base_spans(text)
+            assert {text[a:b].strip("()") for a, b in pii.candidates(text, [])} == {x.strip("()")}, text
+    text = "call (555) 123-4567 now"
+    assert [text[a:b] for a, b in pii.candidates(text, [])] == ["(555) 123-4567"]
+    for text in ("in 2019. 50 people", "12, 34, 56, 78", "1 2 3", "no 12 | 3456", "(12) 345"):
+        assert list(pii.candidates(text, [])) == []
+    text = "4111 1111 1111 1111 555 1234"
+    assert [text[a:b] for a, b in pii.candidates(text, [(2, 0, 19)])] == ["555 1234"]
+    assert list(pii.inner("id 123456 7 x", 3, 11)) == [(3, 9)]
+
+
+def test_groups_are_read_in_linear_time():
+    for text in ("1 " * 200_000, "(1) " * 100_000, "(" * 200_000 + "1" * 6, "AB12 " * 80_000, "AB12 ABCD 1234 " * 30_000, "1" + " " * 400_000 + "1"):
+        list(pii.candidates(text, []))
+
+
+def test_groups_are_redacted_whole(spark):
+    seeds = [(i, f"phone: +1 (555) 555-{1000 + i} {'abcdefghij'[i % 10] * (i + 1)} text") for i in range(30)]
+    seeds += [(40, "phone: (555) 123-4567 then"), (41, "phone: 555 123 4567"), (42, "phone: 555123 and"), (43, "elsewhere 555123 2 more")]
+    docs = spark.createDataFrame(seeds, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert [out[i] for i in (40, 41, 42, 43)] == ["phone: <PHONE> then", "phone: <PHONE>", "phone: <PHONE> and", "elsewhere <PHONE> 2 more"]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.de now", 17), (2, None, None), (3, "+1 (555) 555-0199, 4111 1111 1111 1111", 38), (4, "clean", 5)], "doc_id long, text string, n_chars long")
     out = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs).collect()}

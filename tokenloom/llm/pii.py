@@ -12,6 +12,12 @@
 3. Occurrences of instances found this way are added to the base spans of
    their text, unless they touch one.
 
+An unknown instance is a run of ``[A-Za-z0-9._%+@-]`` with a digit or ``@`` and
+six characters or more, or several runs of digits with one space or bracket
+between them (``(555) 123-4567``) and six digits or more in all, or an IBAN in
+blocks of four. A run of six characters inside a joined one also counts where
+it is known from elsewhere, but induces no patterns of its own there.
+
 All counts cover the whole corpus, distinct pairs of pattern and instance.
 Found spans are kept per distinct text (its hash), so copies cost nothing, and
 are joined to the documents from a written table: Spark broadcasts it when it
@@ -44,6 +50,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HIT = re.compile(r"[0-9@]+")
 _NAME = _LOCAL | {"@"}
+_GROUP = re.compile(r"[0-9.+-]+")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-][A-Z0-9]{4}){2,7}(?:[\x20-](?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_GAPS = (" ", "(", ")", ") ", " (", ")(")  # dots and hyphens are part of a run
 _WORDS = re.compile(r"[^\W\d]+|\d+|[^\w\s]")
 
 
@@ -101,9 +110,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens of six characters or more that touch no base span."""
-    taken, done, i = sorted((s, e) for _, s, e in spans), 0, 0
+def untouched(found: Iterable[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The places that touch none of the taken ones; both in order."""
+    i = 0
+    for start, end in found:
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        if not any(s < end for s, _ in taken[i : i + 1]):
+            yield start, end
+
+
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of identifier characters with a digit or @."""
+    done = 0
     for hit in _HIT.finditer(text):
         if hit.start() < done:
             continue
@@ -115,10 +134,45 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[i
         done = end
         while end > start and text[end - 1] in ".-":
             end -= 1
-        while i < len(taken) and taken[i][1] <= start:
-            i += 1
-        if end - start >= 6 and not any(s < end for s, _ in taken[i : i + 1]):
-            yield start, end
+        yield start, end
+
+
+def joined(text: str, found: Iterable[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """The runs, those of one identifier written in groups of digits together."""
+    group: list[tuple[int, int]] = []
+    digits = False
+    for start, end in found:
+        now = _GROUP.fullmatch(text, start, end) is not None
+        if group and not (digits and now and text[group[-1][1] : min(start, group[-1][1] + 3)] in _GAPS):
+            yield group
+            group = []
+        group.append((start, end))
+        digits = now
+    if group:
+        yield group
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Identifier-like tokens that touch no base span."""
+    taken = sorted((s, e) for _, s, e in spans)
+    blocks = list(untouched((m.span() for m in _IBAN.finditer(text)), taken))
+    yield from blocks
+    for group in joined(text, untouched(runs(text), sorted(taken + blocks))):
+        start, end = group[0][0], group[-1][1]
+        if all(e - s < 6 for s, e in group) and sum(c.isdigit() for c in text[start:end]) < 6:
+            continue
+        if start and text[start - 1] == "(" and (")" in text[start:end].split("(")[0] or text[end : end + 1] == ")"):
+            start -= 1
+        if text[end : end + 1] == ")" and "(" in text[start:end].rpartition(")")[2]:
+            end += 1
+        yield start, end
+
+
+def inner(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of six characters or more inside a candidate, but not the whole of it."""
+    for s, e in runs(text[start:end]):
+        if 6 <= e - s < end - start:
+            yield start + s, start + e
 
 
 def context(text: str, at: int, n: int, behind: bool) -> list[str]:
@@ -164,6 +218,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     rows.append((key, a, b, instance_name(text[a:b]), kind, patterns(text, a, b)))
                 for a, b in candidates(text, spans):
                     rows.append((key, a, b, instance_name(text[a:b]), -1, patterns(text, a, b)))
+                    rows += [(key, s, e, instance_name(text[s:e]), -1, []) for s, e in inner(text, a, b)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -208,7 +263,11 @@ def all_spans(text: pa.Array, added: pa.Array) -> pa.Array:
     out = []
     for raw, more in zip(as_bytes(text), added.to_pylist()):
         spans = [(k, s, e, True) for k, s, e in base_spans(raw.decode())]
-        spans += [(x["kind"], x["start"], x["end"], False) for x in more or ()]
+        end = 0
+        for x in sorted(more or (), key=lambda x: (x["start"], -x["end"])):
+            if x["end"] > end:  # not inside one that is there already
+                spans.append((x["kind"], x["start"], x["end"], False))
+                end = x["end"]
         out.append([dict(zip(("kind", "start", "end", "base"), s)) for s in sorted(spans)])
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
     return pa.array(out, kind)
