@@ -52,3 +52,21 @@ def test_no_labels_reject_nothing(spark):
     assert [r.score for r in quality.quality_scores(frame(spark), none).collect()] == [0.5] * len(rows())
     assert quality.keep_good(frame(spark), none).count() == len(rows())
     assert quality.quality_scores(empty(spark), none).collect() == []
+
+
+def test_copies_do_not_keep_other_documents_from_being_learnt(spark):
+    import numpy as np
+
+    wide = [n for n in quality.widths()]
+    a, b = (lambda v: [float(v)] + [0.0] * (wide[0] - 1)), (lambda u, v=0.0: [float(u), float(v)] + [0.0] * (wide[1] - 2))
+    rng = np.random.default_rng(1)
+    known = [(i, a((1 if i % 2 else -1) * (2 + rng.random())), b(rng.normal())) for i in range(80)]
+    copies = [(1000 + i, a(6 if i % 2 else -6), b(0)) for i in range(4000)]
+    # unlabelled documents, less extreme than the copies, tell the other view what its second column means
+    other = [(9000 + i, a((1 if i % 2 else -1) * (4 + rng.random())), b(rng.normal(), 1 if i % 2 else -1)) for i in range(200)]
+    rows_ = [(d, n, x, y) for n, (d, x, y) in enumerate(known + copies + other)]
+    featured = spark.createDataFrame(rows_, "doc_id long, row long, a array<double>, b array<double>")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = quality.fit(featured, labels).models[1]
+    low, high = model.logit(np.array([b(0, -1), b(0, 1)]))
+    assert low < -1 and high > 1

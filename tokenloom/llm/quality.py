@@ -3,14 +3,16 @@
 View one is the text (shares of byte classes, repetition of words and lines,
 lengths), view two the page metadata (length on record, language, source).
 Each view has its own logistic regression. In every round both score all
-unlabelled documents, and each hands its most confident ones, with their
-pseudo-labels, to the other's training set. At the end each view is calibrated
+unlabelled documents, and each hands all it is sure of, with their
+pseudo-labels, to the other's training set. Documents with equal features count
+once, so a group of copies is one point; the pseudo-labels of a class weigh at
+most as much as its labels do. They stay in Spark, which adds up the sums of
+each Newton step. At the end each view is calibrated
 on held-out labels, and the calibrated log-odds are added to score all
 documents.
 
 Bounds (parameters): at most ``LABELLED`` labelled documents, the smallest by
-hash of doc_id, train and calibrate; each view passes on at most ``GROW``
-documents per class and round. Everything else covers all documents.
+hash of doc_id, train and calibrate. Everything else covers all documents.
 
 Defined cases: null text counts as empty, null metadata as a value of its own;
 labels with null quality are left out and the lowest of several labels holds;
@@ -20,6 +22,7 @@ null and repeated doc_ids are scored like any other row.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 
@@ -31,8 +34,9 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, fresh, materialise, small_batches
 
-LABELLED, GROW, ROUNDS = 20_000, 500, 3
+LABELLED, ROUNDS = 20_000, 3
 SURE, REJECT = 0.95, 0.5
+STEPS = 25  # Newton steps at most
 HELD_OUT = 4  # one labelled document in HELD_OUT calibrates
 LANGS, SOURCES = 8, 64
 
@@ -82,19 +86,22 @@ def views(docs: DataFrame):
 class Logistic:
     """Logistic regression with an L2 penalty on standardised columns, by Newton steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        self.scale[self.scale < 1e-6] = np.inf  # a constant column says nothing
+    def __init__(self, x: np.ndarray, y: np.ndarray, spread: tuple[np.ndarray, np.ndarray] | None = None):
+        self.mean, self.scale = spread or (x.mean(axis=0), x.std(axis=0) + 1e-9)
+        self.scale = np.where(self.scale < 1e-6, np.inf, self.scale)  # a constant column says nothing
         z = self._rows(x)
-        w, ridge = np.zeros(z.shape[1]), penalty * np.eye(z.shape[1])
-        ridge[0, 0] = 1e-6
-        for _ in range(steps):
-            p = sigmoid(z @ w)
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
-            w += step
-            if np.abs(step).max() < 1e-6:
+        self.w = np.zeros(z.shape[1])
+        for _ in range(STEPS):
+            if self.step(*newton_sums(z, y, self.w)) < 1e-6:
                 break
-        self.w = w
+
+    def step(self, slope: np.ndarray, curve: np.ndarray, penalty: float = 1.0) -> float:
+        """Move by one Newton step; the largest change."""
+        ridge = penalty * np.eye(len(self.w))
+        ridge[0, 0] = 1e-6
+        change = np.linalg.solve(curve + ridge, slope - ridge @ self.w)
+        self.w = self.w + change
+        return float(np.abs(change).max())
 
     def _rows(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate((np.ones((len(x), 1)), np.clip((x - self.mean) / self.scale, -8, 8)), axis=1)
@@ -103,6 +110,11 @@ class Logistic:
         return self._rows(x) @ self.w
 
 
+def newton_sums(z: np.ndarray, y: np.ndarray | float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = sigmoid(z @ w)
+    return z.T @ (y - p), (z * (p * (1 - p))[:, None]).T @ z
+
+
 def sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -35, 35)))
 
@@ -141,15 +153,71 @@ def scorer(model: Combined | None):
     return score
 
 
-def view_logit(model: Logistic, width: int):
-    @F.arrow_udf("double")
-    def logit(column: pa.Array) -> pa.Array:
-        return pa.array(model.logit(rows_of(column, width)), pa.float64())
+def summed(pool: DataFrame, vector, width: int) -> np.ndarray:
+    """The sum of ``vector(features of both views)`` over all batches, added up in Spark."""
+    sizes = widths()
+
+    def part(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            if len(batch):
+                total += vector([rows_of(batch.column(i), n) for i, n in enumerate(sizes)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], ["i", "v"])
 
-    return logit
+    out = np.zeros(width)
+    for r in pool.select("a", "b").mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def spreads(pool: DataFrame, xs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation of each view's columns over the pool and the labelled documents."""
+
+    def sums(parts):
+        return np.concatenate([np.concatenate(([len(x)], x.sum(axis=0), (x * x).sum(axis=0))) for x in parts])
+
+    total, out = summed(pool, sums, sum(1 + 2 * n for n in widths())) + sums(xs), []
+    for n in widths():
+        mean, square = total[1 : 1 + n] / total[0], total[1 + n : 1 + 2 * n] / total[0]
+        out.append((mean, np.sqrt(np.maximum(0, square - mean * mean)) + 1e-9))
+        total = total[1 + 2 * n :]
+    return out
 
 
-def fit(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int = LABELLED, grow: int = GROW) -> Combined | None:
+def taught(models: list[Logistic], train: list[tuple[np.ndarray, np.ndarray]], pool: DataFrame) -> list[Logistic]:
+    """Both models fitted anew to the labels and to all that the other view is sure of."""
+    edge = float(np.log(SURE / (1 - SURE)))
+    pupils = [copy.copy(m) for m in models]
+    rows = [m._rows(x) for m, (x, _) in zip(models, train)]
+    for m in pupils:
+        m.w = np.zeros(len(m.w))
+    size = [1 + len(m.w) + len(m.w) ** 2 for m in models]
+    for _ in range(STEPS):
+        now = [m.w for m in pupils]
+
+        def sums(xs, now=now):
+            out, logits = [], [m.logit(x) for m, x in zip(models, xs)]
+            for m, x, w, other in zip(models, xs, now, reversed(logits)):
+                z = m._rows(x)
+                for label, sure in ((0.0, other <= -edge), (1.0, other >= edge)):
+                    slope, curve = newton_sums(z[sure], label, w)
+                    out += [[sure.sum()], slope, curve.ravel()]
+            return np.concatenate(out)
+
+        total, change = summed(pool, sums, 2 * sum(size)), 0.0
+        for m, z, (_, y), n in zip(pupils, rows, train, size):
+            slope, curve = newton_sums(z, y, m.w)
+            for label in (0.0, 1.0):
+                part, total = total[:n], total[n:]
+                weight = min(1.0, (y == label).sum() / max(1.0, part[0]))
+                slope, curve = slope + weight * part[1 : 1 + len(m.w)], curve + weight * part[1 + len(m.w) :].reshape(curve.shape)
+            change = max(change, m.step(slope, curve))
+        if change < 1e-4:
+            break
+    return pupils
+
+
+def fit(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int = LABELLED) -> Combined | None:
     """Co-train on a written frame (doc_id, row, a, b) of all documents' features."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     known = featured.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "row").limit(labelled).collect()
@@ -160,22 +228,11 @@ def fit(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled:
     held = np.arange(len(y)) % HELD_OUT == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)  # too few labels to hold any out: calibrate on what trained
-    train = [[(x[~held], y[~held])] for x in xs]
-    pool = featured.join(marks, "doc_id", "left_anti")
-    used: list[set[int]] = [set(), set()]
-    models = [Logistic(*t[0]) for t in train]
+    train = [(x[~held], y[~held]) for x in xs]
+    pool = materialise(featured.join(marks, "doc_id", "left_anti").select("a", "b").distinct(), "pool")
+    models = [Logistic(*t, s) for t, s in zip(train, spreads(pool, [t[0] for t in train]))]
     for _ in range(rounds):
-        for view, (name, other) in enumerate((("a", "b"), ("b", "a"))):
-            logit = pool.select("row", other, view_logit(models[view], widths()[view])(name).alias("logit"))
-            edge = float(np.log(SURE / (1 - SURE)))
-            for label, sure, order in ((1.0, F.col("logit") >= edge, F.col("logit").desc()), (0.0, F.col("logit") <= -edge, F.col("logit"))):
-                # ask for as many more as were passed on before; used rows may come again
-                found = logit.where(sure).orderBy(order, "row").limit(grow + len(used[view])).collect()
-                fresh_rows = [r for r in found if r["row"] not in used[view]][:grow]
-                used[view].update(r["row"] for r in fresh_rows)
-                if fresh_rows:
-                    train[1 - view].append((np.array([r[other] for r in fresh_rows]), np.full(len(fresh_rows), label)))
-        models = [Logistic(np.concatenate([p[0] for p in t]), np.concatenate([p[1] for p in t])) for t in train]
+        models = taught(models, train, pool)
     check = held if held.any() else ~held
     calibrations = [Logistic(m.logit(x[check])[:, None], y[check]) for m, x in zip(models, xs)]
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
