@@ -70,3 +70,15 @@ def test_copies_do_not_keep_other_documents_from_being_learnt(spark):
     model = quality.fit(featured, labels).models[1]
     low, high = model.logit(np.array([b(0, -1), b(0, 1)]))
     assert low < -1 and high > 1
+
+
+def test_languages_and_sources_count_by_their_own_name(spark):
+    langs = ["de", "es", None, "", "?"]  # de and es, and the last three, shared one value
+    docs = [(i, "the same plain text", langs[i % 5], f"s{i % 3}", 19) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 in (0, 2))) for i in range(400)], "doc_id long, quality int")
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    keep = {r.doc_id: r.keep for r in quality.quality_scores(frame_, labels).collect()}
+    base = frame_.selectExpr("doc_id", "doc_id as row", "lang", "source", "n_chars").withColumn("a", quality.text_view(quality.F.lit("x")))
+    odds = {r.value: r.odds for r in quality.name_rates(base, labels)["lang"].collect()}
+    assert set(odds) == set(langs) and all((odds[x] > 1) == (x in ("de", None)) for x in langs)
+    assert keep == {i: i % 5 in (0, 2) for i in range(400)}

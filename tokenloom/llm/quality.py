@@ -2,6 +2,11 @@
 
 View one is the text (shares of byte classes, repetition of words and lines,
 lengths), view two the page metadata (length on record, language, source).
+A language or source counts by its own name: its smoothed log-odds of good
+quality over the labels (without those held out) and over what the text view,
+trained on labels alone, is sure of. They are joined to the documents from a
+written table: Spark broadcasts it below its threshold, else shuffles and splits
+skewed keys.
 Each view has its own logistic regression. In every round both score all
 unlabelled documents, and each hands all it is sure of, with their
 pseudo-labels, to the other's training set. Documents with equal features count
@@ -23,7 +28,6 @@ null and repeated doc_ids are scored like any other row.
 from __future__ import annotations
 
 import copy
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -38,7 +42,7 @@ LABELLED, ROUNDS = 20_000, 3
 SURE, REJECT = 0.95, 0.5
 STEPS = 25  # Newton steps at most
 HELD_OUT = 4  # one labelled document in HELD_OUT calibrates
-LANGS, SOURCES = 8, 64
+SMOOTH = 10.0  # weight of the overall rate in that of a language or source
 
 _CLASS = np.zeros(256, np.int64)  # byte classes: 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 space, 5 newline, 6 sentence mark, 7 symbol, 8 non-ASCII
 for _chars, _kind in ((range(97, 123), 1), (range(65, 91), 2), (range(48, 58), 3), (b" \t", 4), (b"\n", 5), (b".,;:?'\"-()", 6), (b"!#$%&*+/<=>@[\\]^_`{|}~", 7), (range(128, 256), 8)):
@@ -60,27 +64,47 @@ def text_features(raw: bytes) -> list[float]:
     return [*shares.tolist(), len(counts) / w, common, stay, min(size, 40.0), odd, bare, shout, 1 - len(set(lines)) / len(lines), np.log1p(len(words)), np.log1p(len(raw) / len(lines))]
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    out = [0.0] * (2 + LANGS + SOURCES)
-    out[0], out[1] = float(np.log1p(max(0, n_chars or 0))), float(n_chars is None)
-    out[2 + zlib.crc32((lang or "?").encode()) % LANGS] = 1.0
-    out[2 + LANGS + zlib.crc32((source or "?").encode()) % SOURCES] = 1.0
-    return out
-
-
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def text_view(text: pa.Array) -> pa.Array:
     parts = (as_bytes(text.slice(a, 256)) for a in range(0, len(text), 256))  # few texts are copied at a time
     return pa.array([text_features(x) for part in parts for x in part], pa.list_(pa.float64()))
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def meta_view(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
-    return pa.array([meta_features(*x) for x in zip(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist())], pa.list_(pa.float64()))
-
-
-def views(docs: DataFrame):
-    return text_view("text"), meta_view(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+NAMES = ("lang", "source")
+
+
+def with_views(docs: DataFrame, rates: dict[str, DataFrame], a: str, b: str) -> DataFrame:
+    """The documents with the features of both views."""
+    meta = [F.log1p(F.greatest(F.lit(0), F.coalesce(F.col("n_chars").cast("long"), F.lit(0))).cast("double")), F.col("n_chars").isNull().cast("double")]
+    out = docs.withColumn(a, text_view("text")) if "text" in docs.columns else docs
+    for name, rate in rates.items():
+        value, odds = fresh(out, f"{name}_value", f"{name}_odds")
+        out = out.join(rate.select(F.col("value").alias(value), F.col("odds").alias(odds)), F.col(name).cast("string").eqNullSafe(F.col(value)), "left")
+        meta += [F.coalesce(F.col(odds), F.lit(0.0)), F.col(name).isNull().cast("double")]
+    return out.select(*docs.columns, *[a] * (a not in docs.columns), F.array(*meta).alias(b))
+
+
+def name_rates(base: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[str, DataFrame]:
+    """value and odds (log-odds beyond the overall ones) of each language and each source."""
+    marks = marked(labels)
+    known, y, held = sample(base, marks, labelled)
+    kept = base.join(base.sparkSession.createDataFrame([(r["row"],) for r, h in zip(known, held) if h], "row long"), "row", "left_anti")
+    told = kept.join(marks, "doc_id").select(*NAMES, (F.col("y") > 0).alias("good"), F.lit(True).alias("told"))
+    prior = 0.5
+    if len(set(y.tolist())) == 2:
+        prior, edge = float(y[~held].mean()), float(np.log(SURE / (1 - SURE)))
+        text = Logistic(np.array([r["a"] for r in known])[~held], y[~held])
+        pool = base.join(marks, "doc_id", "left_anti").select("a", *NAMES, "n_chars").distinct().withColumn("logit", view_logit(text, widths()[0])("a"))
+        told = told.union(pool.where(F.abs("logit") >= edge).select(*NAMES, F.col("logit") > 0, F.lit(False)))
+    told = materialise(told, "name-labels")
+    n = {(r["told"], r["good"]): r["count"] for r in told.groupBy("told", "good").count().collect()}
+    weight = {g: min(1.0, n.get((True, g), 0) / max(1, n.get((False, g), 0))) for g in (True, False)}
+    out = {}
+    for name in NAMES:
+        good, bad = (F.sum(F.when(F.col("good") == g, F.when(F.col("told"), 1.0).otherwise(weight[g])).otherwise(0.0)) for g in (True, False))
+        odds = F.log((good + SMOOTH * prior) / (bad + SMOOTH * (1 - prior))) - float(np.log(prior / (1 - prior)))
+        out[name] = materialise(told.groupBy(F.col(name).alias("value")).agg(odds.alias("odds")), f"rates-{name}")
+    return out
 
 
 class Logistic:
@@ -136,7 +160,7 @@ def rows_of(column: pa.Array, width: int) -> np.ndarray:
 
 
 def widths() -> tuple[int, int]:
-    return len(text_features(b"")), len(meta_features(None, None, None))
+    return len(text_features(b"")), 2 + 2 * len(NAMES)
 
 
 def scorer(model: Combined | None):
@@ -153,6 +177,28 @@ def scorer(model: Combined | None):
     return score
 
 
+def view_logit(model: Logistic, width: int):
+    @F.arrow_udf("double")
+    def logit(column: pa.Array) -> pa.Array:
+        return pa.array(model.logit(rows_of(column, width)), pa.float64())
+
+    return logit
+
+
+def marked(labels: DataFrame) -> DataFrame:
+    return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
+
+
+def sample(featured: DataFrame, marks: DataFrame, labelled: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Labelled documents, whether they are good, and which are held out."""
+    known = featured.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "row").limit(labelled).collect()
+    y = np.array([float(r["y"] > 0) for r in known])
+    held = np.arange(len(y)) % HELD_OUT == 0
+    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+        held = np.zeros(len(y), bool)  # too few labels to hold any out: calibrate on what trained
+    return known, y, held
+
+
 def summed(pool: DataFrame, vector, width: int) -> np.ndarray:
     """The sum of ``vector(features of both views)`` over all batches, added up in Spark."""
     sizes = widths()
@@ -219,15 +265,11 @@ def taught(models: list[Logistic], train: list[tuple[np.ndarray, np.ndarray]], p
 
 def fit(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int = LABELLED) -> Combined | None:
     """Co-train on a written frame (doc_id, row, a, b) of all documents' features."""
-    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    known = featured.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "row").limit(labelled).collect()
-    y = np.array([float(r["y"] > 0) for r in known])
+    marks = marked(labels)
+    known, y, held = sample(featured, marks, labelled)
     if len(set(y.tolist())) < 2:
         return None
     xs = [np.array([r[c] for r in known]) for c in ("a", "b")]
-    held = np.arange(len(y)) % HELD_OUT == 0
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(y), bool)  # too few labels to hold any out: calibrate on what trained
     train = [(x[~held], y[~held]) for x in xs]
     pool = materialise(featured.join(marks, "doc_id", "left_anti").select("a", "b").distinct(), "pool")
     models = [Logistic(*t, s) for t, s in zip(train, spreads(pool, [t[0] for t in train]))]
@@ -239,23 +281,24 @@ def fit(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled:
     return Combined(models, calibrations, float(np.log(rate / (1 - rate))))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Combined | None]:
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], Combined | None]:
     small_batches(docs.sparkSession)
-    a, b = views(docs)
-    featured = materialise(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), a.alias("a"), b.alias("b")), "features")
-    return featured, fit(featured, labels)
+    names = [F.col(n).cast("string").alias(n) for n in NAMES]
+    base = materialise(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_view("text").alias("a"), *names, F.col("n_chars").cast("long").alias("n_chars")), "text-features")
+    rates = name_rates(base, labels)
+    featured = materialise(with_views(base, rates, "a", "b").select("doc_id", "row", "a", "b"), "features")
+    return featured, rates, fit(featured, labels)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_text, p_meta, score and keep of every document."""
-    featured, model = trained(docs, labels)
+    featured, _, model = trained(docs, labels)
     return featured.withColumn("s", scorer(model)("a", "b")).select("doc_id", "s.p_text", "s.p_meta", "s.score", (F.col("s.score") >= REJECT).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject."""
-    _, model = trained(docs, labels)
+    _, rates, model = trained(docs, labels)
     a, b, s = fresh(docs, "text_view", "meta_view", "quality_score")
-    x, y = views(docs)
-    scored = docs.withColumn(a, x).withColumn(b, y).withColumn(s, scorer(model)(a, b))
+    scored = with_views(docs, rates, a, b).withColumn(s, scorer(model)(a, b))
     return scored.where(F.col(s)["score"] >= REJECT).select(*docs.columns)
