@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, dedup, jaccard, packing, pii, quality, sharding, tokenfiles, topk, warc
+from . import bytebpe, collocations, dedup, jaccard, packing, pii, quality, sharding, tokenfiles, topk, warc
 from .common import read
 
 
@@ -50,9 +50,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_byte_bpe, op3_token_files, op4_sharding, op5_warc_derivatives, op6_ngram_jaccard, op7_quality, op8_topk_search, op9_pii, op10_packing)
+    for f in (op1_exact_dedup, op2_byte_bpe, op3_token_files, op4_sharding, op5_warc_derivatives, op6_ngram_jaccard, op7_quality, op8_topk_search, op9_pii, op10_packing, op11_collocations)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,4 +78,29 @@ ORACLES: dict[str, str] = {
             select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
         )
         select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op11_collocations": f"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece
+            from documents
+        ), words as (
+            select lang, copies, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w
+            from (select lang, piece, count(*) as copies from pieces group by all)
+        ), grams as (
+            select lang, k, list_aggregate(list_slice(w, i, i + k - 1), 'string_agg', ' ') as gram, sum(copies)::hugeint as f
+            from (select lang, copies, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (values (1), (2), (3)) as s(k)) group by all
+        ), total as (select lang, sum(f)::bigint as n from grams where k = 1 group by lang
+        ), phrases as (select *, string_split(gram, ' ') as w from grams where k > 1 and f >= 10
+        ), cuts as (
+            select p.lang, p.gram, p.k, p.f as a, c, l.f as l, r.f as r, 1000000 * p.f * p.f // (l.f * r.f) as score
+            from (select *, unnest(range(1, k)) as c from phrases) p
+            join grams l on l.lang = p.lang and l.gram = array_to_string(p.w[1:c], ' ')
+            join grams r on r.lang = p.lang and r.gram = array_to_string(p.w[c + 1:], ' ')
+        ), low as (select *, row_number() over (partition by lang, gram order by score, c) as place from cuts
+        ), kept as (
+            select * from low where place = 1 and not exists (
+                select 1 from phrases b where b.lang = low.lang and b.k = 3 and low.k = 2 and 100 * b.f >= 50 * low.a
+                and (array_to_string(b.w[1:2], ' ') = low.gram or array_to_string(b.w[2:3], ' ') = low.gram))
+        ), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, gram) as rank from kept)
+        select lang, rank, gram as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join total using (lang)
+        where rank <= 2000""",
 }
