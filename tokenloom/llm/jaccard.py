@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom
-from .common import as_bytes, bounds, fresh, in_steps, materialise, runs, slices, small_batches, take_ranges
+from .common import as_bytes, bounds, fresh, in_steps, materialise, runs, slices, small_batches, take_ranges, tidy
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9999, 128
 BLOCK = 400
@@ -160,7 +160,7 @@ def signatures(docs: DataFrame, words: int, shape: tuple[int, int]) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array(nodes, pa.binary()), lists], ["doc_id", "text_key", "node", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return materialise(rows.mapInArrow(sign, "doc_id bigint, text_key binary, node binary, bands array<bigint>"), "signatures")
+    return materialise(rows.mapInArrow(tidy(sign), "doc_id bigint, text_key binary, node binary, bands array<bigint>"), "signatures")
 
 
 def bucket_tasks(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -193,7 +193,7 @@ def gram_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
             keys = [np.array(b, np.int64).tobytes() for b in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["node", "copies", "keys", "grams"])
 
-    return materialise(wanted.mapInArrow(shingle, "node binary, copies bigint, keys binary, grams binary"), "gram-sets")
+    return materialise(wanted.mapInArrow(tidy(shingle), "node binary, copies bigint, keys binary, grams binary"), "gram-sets")
 
 
 def links_of(rows: list[dict], threshold: float) -> list[tuple[bytes, bytes, int]]:
@@ -245,7 +245,7 @@ def verified(tasks: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.int64()))], ["node", "root", "links"])
 
     rows = tasks.join(sets, "node").repartition("task").sortWithinPartitions("task", "node")
-    return materialise(rows.mapInArrow(check, "node binary, root binary, links bigint"), "links")
+    return materialise(rows.mapInArrow(tidy(check), "node binary, root binary, links bigint"), "links")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounds, in_steps, list_array, materialise
+from .common import as_bytes, bounds, in_steps, list_array, materialise, tidy
 from .wordcodec import codec, release, tokenizer_file, with_end
 
 SIZE = 4096
@@ -132,7 +132,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, s
             yield pa.RecordBatch.from_arrays([*columns, list_array(ids, length, pa.int32())] if with_ids else columns, names)
         release()
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema), "pieces")
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), schema), "pieces")
 
 
 def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, in_steps, materialise, small_batches
+from .common import as_bytes, fresh, in_steps, materialise, small_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
@@ -222,7 +222,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return materialise(docs.select("text").mapInArrow(find, OCCURRENCE), "pii-occurrences")
+    return materialise(docs.select("text").mapInArrow(tidy(find), OCCURRENCE), "pii-occurrences")
 
 
 def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:

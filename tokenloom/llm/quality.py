@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, materialise, small_batches
+from .common import as_bytes, fresh, materialise, small_batches, tidy
 
 LABELLED, ROUNDS = 20_000, 3
 SURE, REJECT = 0.95, 0.5
@@ -211,7 +211,7 @@ def summed(pool: DataFrame, vector, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], ["i", "v"])
 
     out = np.zeros(width)
-    for r in pool.select("a", "b").mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in pool.select("a", "b").mapInArrow(tidy(part), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
