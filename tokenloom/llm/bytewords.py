@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 WINDOW = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,13 +37,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def _powers(base: int, n: int) -> np.ndarray:
     """Powers of an odd base and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        steps = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64).repeat(n, axis=1)
+    if base not in _POWERS or _POWERS[base].shape[1] < n:
+        steps = np.array([[base], [pow(base, -1, 1 << 64)]], np.uint64).repeat(n, axis=1)
         steps[:, 0] = 1
-        _POWERS[:] = np.cumprod(steps, axis=1)
-    return _POWERS
+        _POWERS[base] = np.cumprod(steps, axis=1)
+    return _POWERS[base]
 
 
 def _windows(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -54,7 +54,7 @@ def _windows(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """Hash of each byte range (ascending, disjoint): a polynomial by prefix sums, words over ``WINDOW`` by digest."""
     out = np.zeros(len(starts), np.uint64)
     for a, b in _windows(starts, ends):
@@ -62,7 +62,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if hi - lo > WINDOW:
             out[a] = int.from_bytes(blake2b(buf[lo:hi].tobytes(), digest_size=8).digest(), "little")
             continue
-        power, inverse = _powers(WINDOW)
+        power, inverse = _powers(base, WINDOW)
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * power[: hi - lo], out=sums[1:])
         s = starts[a:b] - lo

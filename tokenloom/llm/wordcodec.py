@@ -1,7 +1,8 @@
 """Encoding of whole texts with a vocabulary file of the tokenizers library.
 
 The vocabulary of word ends drops white space, ignores case and never joins two
-words, so a text has the ids of its white-space separated words in order. Each
+words, so a text has the ids of its white-space separated words in order. Words
+are told apart by two 64-bit hashes, taken in numpy for a whole step; each
 distinct word is encoded once and kept in a bounded cache of the worker, which
 forgets the words it met only once when it is full. Latin letters with marks
 behind them are two entries of the library's BPE model, each kept by itself, so
@@ -19,13 +20,18 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from .bytewords import OTHER_BASE, runs_of, word_hashes
 from .common import bounds, slices, take_ranges
 
 WORD_FILE = "word_bpe_49k.json"
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
 _MARKS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # a-z and the letters of U+00C0 to U+00FF
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+_LOWER = np.arange(256, dtype=np.uint8)  # A-Z in lower case, as the vocabulary has it
+_LOWER[65:91] += 32
 # bytes as the printable characters that byte-level vocabularies use: printable bytes stay, the others follow 255
 _STAY = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [b for b in range(256) if b not in _STAY]
@@ -102,38 +108,50 @@ class WordCodec:
         if other:
             self._add(other, *self._ids([e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]))
 
+    def _distinct(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct words of some texts, which of them each word is, and how many words each text has."""
+        joined = b"\n".join(texts) + b"\n"
+        raw, cuts = np.frombuffer(joined, np.uint8), bounds(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        low = _LOWER[raw]
+        if b"<|" in joined:  # special tokens are written in lower case, so texts with their brackets keep their case
+            for i, text in enumerate(texts):
+                if b"<|" in text:
+                    low[cuts[i] : cuts[i + 1]] = raw[cuts[i] : cuts[i + 1]]
+        starts, ends = runs_of(~_BLANK[low])
+        many = np.diff(np.searchsorted(starts, cuts))
+        _, first, which = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        data = low.tobytes()
+        other = word_hashes(low, starts, ends, OTHER_BASE)
+        if not (other == other[first][which]).all():  # two words with one hash: take them by their bytes
+            words = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+            index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            return list(index), np.fromiter(map(index.__getitem__, words), np.int64, len(words)), many
+        return [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], which, many
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
         flats, lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for a, b in slices(map(len, texts), STEP_BYTES):
-            # special tokens are written in lower case, so texts with their brackets keep their case
-            words = [_lowered(t).split() for t in texts[a:b]]
-            flat = list(chain.from_iterable(words))
-            codes = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
-            missed = np.flatnonzero(codes < 0).tolist()
-            if missed:
-                new = set(map(flat.__getitem__, missed))
+            words, which, many = self._distinct(texts[a:b])
+            codes = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+            missed = np.flatnonzero(codes < 0)
+            if len(missed):
+                new = list(map(words.__getitem__, missed.tolist()))
                 if len(self.index) + len(new) > CACHE_WORDS or sum(map(len, new)) > CACHE_BYTES:
                     self._forget()
-                    self._learn(list(set(flat).difference(self.index)))
-                    codes = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+                    self._learn(list(set(words).difference(self.index)))
+                    codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
                 else:
-                    self._learn(list(new))
-                    codes[missed] = np.fromiter(map(self.index.__getitem__, map(flat.__getitem__, missed)), np.int64, len(missed))
-            self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
+                    self._learn(new)
+                    codes[missed] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+            self.hits[codes] += np.bincount(which, minlength=len(words)).astype(np.int32)
+            codes = codes[which]
             each = self.lens[codes]
             flats.append(take_ranges(self.flat, self.starts[codes], each))
-            lens.append(np.diff(bounds(each)[bounds(np.fromiter(map(len, words), np.int64, len(words)))]))
+            lens.append(np.diff(bounds(each)[bounds(many)]))
         return np.concatenate(flats), np.concatenate(lens)
 
 
-def _lowered(text: bytes) -> bytes:
-    """A-Z in lower case, as the vocabulary has it."""
-    if b"<|" in text:
-        return text
-    return text.lower()
-
-
 _CODECS: dict[bytes, WordCodec] = {}
 
 
