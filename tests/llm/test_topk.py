@@ -62,3 +62,39 @@ def test_bounds_hold():
 
 def test_empty_table(spark):
     assert run(spark, []) == set()
+
+
+def exact(x):
+    return 64 * int(x) if abs(x) >= 2.0**53 else math.floor(64.0 * x)
+
+
+def brute_doubles(table, every=20, k=20):
+    rows = [(i, [exact(x) for x in v]) for i, v in table if all(map(math.isfinite, v))]
+    out = set()
+    for q, a in {i: v for i, v in rows if i % every == 0}.items():
+        scores = [(max(-topk.LONG, min(topk.LONG, sum(x * y for x, y in zip(a, b)))), i) for i, b in rows if i != q]
+        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted((-s, i) for s, i in scores)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("scale", [3e6, 1e9, 1e18, 1e200])
+def test_large_components_are_exact(spark, scale, monkeypatch):
+    monkeypatch.setattr(topk, "SEEDS", 40)
+    rng = random.Random(8)
+    close = [rng.uniform(-1, 1) for _ in range(12)]
+    table = [(i, [scale * (c + (rng.gauss(0, 1e-9) if i % 3 else rng.gauss(0, 1))) for c in close]) for i in range(150)]
+    table += [(200, [1e308] + [0.0] * 11), (201, [-1e308] + [1.0] * 11), (202, [0.0] * 12), (203, [0.0, 1.0] + [0.0] * 10), (204, [float("inf")] * 12)]
+    table += [(220, [2.0**70, -(2.0**70)] + [0.25] * 10), (221, [1.0, 1.0] + [0.5] * 10), (240, [1.0] * 12)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.search(df).collect()} == brute_doubles(table)
+
+
+def test_the_sample_does_not_grow_with_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SEEDS", 30)
+    table = clusters(1200, 8, 0.3)
+    df = spark.createDataFrame([(i, v, 0, "r", "s") for i, v in table], SCHEMA)
+    seen = []
+    plain = topk.query_blocks
+    monkeypatch.setattr(topk, "query_blocks", lambda q, seeds, k: seen.append(sum(len(s[0]) for s in seeds.values())) or plain(q, seeds, k))
+    results = [{tuple(r) for r in topk.search(df.repartition(n)).collect()} for n in (2, 24)]
+    assert results[0] == results[1] and seen[0] == seen[1] < 90
