@@ -63,6 +63,20 @@ def test_filter_full_of_bits_stays_exact(spark, monkeypatch):
     assert sorted(norm(r.text) for r in kept) == sorted({norm(r[1]) for r in rows()})
 
 
+@pytest.mark.parametrize("most", [1 << 30, 1 << 12])
+def test_unique_rows_pass_straight_through_at_every_size(spark, monkeypatch, most):
+    """Far more rows than a table has bits for: rounds of hash ranges let as few unique rows through as one table."""
+    monkeypatch.setattr(bloom, "MIN_BITS", 1 << 10)
+    monkeypatch.setattr(bloom, "MAX_BITS", most)
+    keys = [hashlib.sha256(str(i if i < 4000 else i % 50).encode()).digest() for i in range(4400)]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "doc_id long, k binary")
+    assert (bloom.rounds_for(4400) > 10) == (most == 1 << 12)
+    got = bloom.tested(df, "k", "maybe", hits=2).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4400))
+    assert all(r.maybe for r in got if r.doc_id < 50 or r.doc_id >= 4000)
+    assert sum(r.maybe for r in got if 50 <= r.doc_id < 4000) < 0.03 * 3950
+
+
 def test_only_suspects_are_shuffled(spark):
     plan = dedup.duplicate_groups(frame(spark))._jdf.queryExecution().executedPlan().toString()
     straight = plan.split("Union", 1)[1]

@@ -1,8 +1,9 @@
 """Bit tables (Bloom filters) over the hashes of a frame, built in parallel.
 
 A table has ``BITS_PER_ROW`` bits a row up to ``MAX_BITS``, so what is broadcast
-never exceeds ``MAX_BITS`` / 8 bytes. Beyond that it lets more rows through; it
-never misses one. Tasks send the positions they hit, one message per segment,
+never exceeds ``MAX_BITS`` / 8 bytes; it never misses a row. ``tested`` takes
+more rows than that in rounds of hash ranges, each with a table of its own, so
+the share of rows that a table lets through does not grow. Tasks send the positions they hit, one message per segment,
 and each segment is merged by one task of fixed memory.
 """
 
@@ -16,6 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import scratch_path
+from .common import fresh, materialise, tidy
 
 BITS_PER_ROW = 16
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 30
@@ -61,8 +66,8 @@ def bit_segments(hashes: DataFrame, column: str, bits: int, hits: int) -> list[b
         for segment, seen in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([zlib.compress(np.packbits(seen >= hits).tobytes(), 1)], pa.binary())], ["segment", "bits"])
 
-    sent = hashes.select(column).mapInArrow(scatter, "segment int, at binary, twice binary")
-    parts = sent.repartition(SEGMENTS, "segment").mapInArrow(gather, "segment int, bits binary").collect()
+    sent = hashes.select(column).mapInArrow(tidy(scatter), "segment int, at binary, twice binary")
+    parts = sent.repartition(SEGMENTS, "segment").mapInArrow(tidy(gather), "segment int, bits binary").collect()
     out = [zlib.compress(bytes(width // 8), 1)] * SEGMENTS
     for row in parts:
         out[row["segment"]] = bytes(row["bits"])
@@ -73,9 +78,32 @@ def filter_bits(rows: int) -> int:
     return max(MIN_BITS, min(MAX_BITS, 1 << max(0, rows * BITS_PER_ROW - 1).bit_length()))
 
 
-def bloom(df: DataFrame, column: str, hits: int = 1) -> Callable[[str], Column]:
+def rounds_for(rows: int) -> int:
+    """Hash ranges of which each has a table of its own."""
+    return max(1, -(-rows * BITS_PER_ROW // MAX_BITS))
+
+
+def tested(df: DataFrame, column: str, name: str, hits: int = 1) -> DataFrame:
+    """``df`` with a column that is true where at least ``hits`` rows may have the row's digest."""
+    rows = df.count()
+    rounds = rounds_for(rows)
+    if rounds == 1:
+        return df.withColumn(name, bloom(df, column, hits, rows)(column))
+    (part,) = fresh(df, "hash_range")
+    path = scratch_path(df.sparkSession, "hash-ranges")
+    df.withColumn(part, F.pmod(F.xxhash64(column), F.lit(rounds)).cast("int")).write.partitionBy(part).option("compression", "zstd").parquet(path)
+    spread, out = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType())])).parquet(path), None
+    for r in range(rounds):
+        own = spread.where(F.col(part) == r).drop(part)
+        # written before the next range's table is broadcast
+        done = materialise(own.withColumn(name, bloom(own, column, hits)(column)), "range-tested")
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+def bloom(df: DataFrame, column: str, hits: int = 1, rows: int | None = None) -> Callable[[str], Column]:
     """Condition on a digest column: true for every digest that at least ``hits`` rows of ``df`` have."""
-    bits, name = filter_bits(df.count()), uuid.uuid4().hex
+    bits, name = filter_bits(df.count() if rows is None else rows), uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(bit_segments(df, column, bits, hits))
 
     @F.arrow_udf("boolean")

@@ -6,8 +6,8 @@ marked, so the marks are a Bloom filter of the possibly repeated hashes without
 misses. Pass two tests every row: rows outside the filter are unique and pass
 straight through; only the others are shuffled and grouped on the full SHA-256.
 
-The broadcast filter has a bounded size (see ``bloom``). Beyond it more unique
-rows enter the shuffle; the result stays exact at every size.
+The broadcast filter has a bounded size (see ``bloom``); a larger table is taken
+in rounds of hash ranges, so unique rows pass straight through at every size.
 
 Defined cases: null text counts as empty; texts are equal when identical after
 lower-casing A-Z; of equal texts the largest doc_id stays (null ids lose, and a
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bloom import bloom
+from .bloom import tested
 from .common import as_bytes, fresh, materialise, small_batches
 
 
@@ -38,10 +38,10 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_sha256, keep_id, group_size, kept."""
     small_batches(docs.sparkSession)
     hashed = docs.select("doc_id", text_sha("text").alias("sha"))
-    tested = materialise(hashed.withColumn("maybe", bloom(hashed, "sha", hits=2)("sha")), "dedup-tested")
-    alone = tested.where("not maybe").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    marked = materialise(tested(hashed, "sha", "maybe", hits=2), "dedup-tested")
+    alone = marked.where("not maybe").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     # equal rows first become one counted row, so a repeated doc_id is one row from here on
-    counted = tested.where("maybe").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = marked.where("maybe").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     groups = materialise(counted.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "dedup-groups")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
     rows = counted.join(groups, "sha").select("doc_id", "sha", "keep_id", "group_size", copy)
@@ -54,9 +54,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     sha, keep, maybe = fresh(docs, "text_sha", "keep_id", "maybe")
     hashed = docs.withColumn(sha, text_sha("text"))
-    tested = hashed.withColumn(maybe, bloom(hashed.select(sha), sha, hits=2)(sha))
-    suspects = tested.where(F.col(maybe))
+    marked = tested(hashed, sha, maybe, hits=2)
+    suspects = marked.where(F.col(maybe))
     groups = materialise(suspects.groupBy(sha).agg(F.max("doc_id").alias(keep)), "dedup-keepers")
     g = groups.withColumnRenamed(sha, f"{sha}_g")
     chosen = suspects.join(g, (F.col(sha) == F.col(f"{sha}_g")) & F.col("doc_id").eqNullSafe(F.col(keep)), "left_semi").dropDuplicates([sha, "doc_id"])
-    return tested.where(~F.col(maybe)).select(*docs.columns).unionByName(chosen.select(*docs.columns))
+    return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(chosen.select(*docs.columns))
