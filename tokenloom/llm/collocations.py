@@ -45,6 +45,7 @@ LONG, STEP = 4 << 20, 1 << 20
 HASH_BITS = 48
 FLUSH, BUCKET = 2_000_000, 2_000_000  # n-grams a message, n-grams a hash range
 BITS_PER_GRAM, MAX_BITS = 16, 1 << 29
+PARTS = 8  # parts of a language that are ranked apart
 
 _PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _TEXT_KIND = np.zeros(256, np.uint8)
@@ -315,6 +316,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     inner = inner.withColumn("p", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("m") + 1)))
     longer = inner.select("lang", part(F.col("p"), F.col("m")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = scored.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
-    best = Window.partitionBy("lang").orderBy(F.desc("low.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.desc("low.score"), F.desc("a"), F.asc("phrase")]
+    # a language's best are among the best of each of its parts, so a hot language is ranked by many tasks first
+    within = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    parts = kept.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= top)
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "low.l", "low.r", "n", "low.score")
