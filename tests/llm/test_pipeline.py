@@ -2,7 +2,7 @@ import corpus_pipeline
 from tests.llm.data import empty, frame, rows
 from tests.llm.test_jaccard import alike, grams
 from tests.llm.test_tokens import word_ids
-from tokenloom.llm import common, pii
+from tokenloom.llm import common, pii, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -11,25 +11,73 @@ def test_stages_have_the_stated_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram jaccard join", "pii", "packing"]
 
 
-def test_every_stage_takes_effect(spark):
+def rows_of(df):
+    out = {r.doc_id: r for r in df.collect()}
+    assert len(out) == df.count()
+    return out
+
+
+def near_classes(texts):
+    """Components of documents of 0.8 or more, all pairs of possible sizes compared."""
+    sets = {i: grams(t) for i, t in texts.items()}
+    order, root = sorted(sets, key=lambda i: len(sets[i])), {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            if len(sets[j]) * 0.8 > len(sets[i]):
+                break
+            if alike(sets[i], sets[j]):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return {i: top(i) for i in sets}
+
+
+def test_every_stage_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, counts = docs.columns, [docs.count()]
+    columns, after = docs.columns, [rows_of(docs)]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = common.materialise(stage(spark, docs, SF), "test-stage")
         assert docs.columns == columns, name
-        counts.append(docs.count())
-    assert counts[0] > counts[1] > counts[2] > counts[3] == counts[4] > 0
-    out = docs.collect()
-    assert len({(r.text or "").encode().lower() for r in out}) == len(out)
-    assert not any(pii.base_spans(r.text or "") for r in out)
-    sets = sorted((grams(r.text) for r in out), key=len)
-    for i, a in enumerate(sets):
-        for b in sets[i + 1 :]:
-            if len(b) * 0.8 > len(a):
-                break
-            assert not alike(a, b) or any("<" in r.text for r in out)  # redaction may bring texts closer
+        after.append(rows_of(docs))
+    start, good, unique, apart, clean = after
+
+    keep = {r.doc_id for r in quality.quality_scores(spark.read.parquet(f"{SF}/documents.parquet"), common.read(spark, SF, "labels")).where("keep").collect()}
+    labels = {r.doc_id: r.quality for r in common.read(spark, SF, "labels").collect()}
+    assert set(good) == keep and all(good[i] == start[i] for i in good)
+    kept_good = [i in good for i, q in labels.items() if q and i in start]
+    kept_bad = [i in good for i, q in labels.items() if q == 0 and i in start]
+    assert sum(kept_good) > 0.9 * len(kept_good) and sum(kept_bad) < 0.5 * len(kept_bad)
+
+    last = {}
+    for i, r in sorted(good.items()):
+        last[(r.text or "").encode().lower()] = i
+    assert unique == {i: good[i] for i in last.values()}
+
+    classes = near_classes({i: r.text or "" for i, r in unique.items()})
+    assert len(set(classes.values())) < len(classes)
+    assert apart == {i: unique[i] for i in set(classes.values())}
+
+    assert set(clean) == set(apart)
+    for i, r in clean.items():
+        found = pii.base_spans(apart[i].text or "")
+        assert not pii.base_spans(r.text or "")
+        if not found:
+            assert r == apart[i]
+        else:
+            text, parts, done = apart[i].text, [], 0
+            for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
+                if s >= done:
+                    parts += [text[done:s], f"<{pii.KINDS[kind].upper()}>"]
+                done = max(done, e)
+            assert r.text == "".join(parts) + text[done:] and r.n_chars == len(r.text)
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    assert sum(r.length for r in pieces) == sum(len(word_ids(r.text)) + 1 for r in out)
+    assert sum(r.length for r in pieces) == sum(len(word_ids(r.text)) + 1 for r in clean.values())
+    assert {r.doc_id for r in pieces} == set(clean)
 
 
 def test_awkward_tables_pass_every_stage(spark):
