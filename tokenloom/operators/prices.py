@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..functions.frames import stack
-from ..functions.scalar import dbl, hex_to_number, hex_word, safe_div
+from ..functions import uint256 as U
+from ..functions.scalar import dbl, hex_word, safe_div
 from .ordering import exact_quantile
 from .timeseries import locf, spine, stitch
 
@@ -145,7 +146,7 @@ def exchange_volume(logs: DataFrame, topic: str, product: str, prices: DataFrame
     """
     hits = logs.where((F.col("topic1") == topic) & (hex_word("topic3", 0) == F.lit(product)))
     sums = hits.groupBy("minute", "day", hex_word("topic4", 0).alias("contract")).agg(
-        F.sum(hex_to_number(hex_word("data", 0))).alias("raw")
+        U.to_double(U.total(U.from_hex(hex_word("data", 0)))).alias("raw")  # the sum is exact
     )
     own = prices.select("minute", "contract", F.col("price").alias("p"), F.col("decimals").alias("d"))
     alt = prices.where(F.col("symbol") == fallback).select("minute", F.col("price").alias("pf"), F.col("decimals").alias("df"))
@@ -154,6 +155,13 @@ def exchange_volume(logs: DataFrame, topic: str, product: str, prices: DataFrame
     return joined.groupBy("day").agg(F.sum(unit * F.col("raw")).alias("volume"))
 
 
+def exchange_amounts(logs: DataFrame, topic: str, keys: Sequence[str] = ("day",)) -> DataFrame:
+    """Paying token, number and exact raw amount of exchange logs per key; all 256 bits as text."""
+    paid = logs.where(F.col("topic1") == topic).select(*keys, hex_word("topic4", 0).alias("contract"), U.from_hex(hex_word("data", 0)).alias("_raw"))
+    out = paid.groupBy(*keys, "contract").agg(F.count("_raw").alias("n"), U.total("_raw").alias("_sum"))
+    return out.select(*keys, "contract", "n", U.to_text("_sum").alias("raw_amount"))
+
+
 def paired_transfer_price(ledger: DataFrame, quote: str, base: str, bucket: str = "day") -> DataFrame:
     """Implied price of ``base`` in ``quote`` from transfers into and out of a pool in one transaction.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import uint256 as U
 from ..functions.scalar import hex_to_number, hex_word, norm_address
 
 
@@ -37,12 +38,18 @@ def successful_calls(calls: DataFrame, flag: str = "call_success") -> DataFrame:
 def decode_logs(logs: DataFrame, topic1: str, words: Mapping[str, tuple[str, int, str]]) -> DataFrame:
     """Rows of one event with named 32-byte words of its topics or data.
 
-    ``words``: name -> (column, word index, 'number' | 'address' | 'hex').
+    ``words``: name -> (column, word index, kind). Kinds: 'number' (a double),
+    'uint256' (exact, see ``functions.uint256``), 'uint256_text' and 'int256_text'
+    (all digits), 'address', 'hex'.
     """
+    exact = {"uint256": lambda c: c, "uint256_text": U.to_text, "int256_text": U.signed_text}
+
     def decode(column: str, index: int, kind: str) -> Column:
         word = hex_word(column, index)
         if kind == "number":
             return hex_to_number(word)
+        if kind in exact:
+            return exact[kind](U.from_hex(word))
         return F.concat(F.lit("0x"), F.substring(word, 25, 40)) if kind == "address" else word
 
     rest = [c for c in logs.columns if not c.startswith("topic") and c != "data"]
