@@ -1,8 +1,10 @@
 """Daily roll-ups kept up to date from an append-only event folder.
 
-Closed days are appended to a history folder by a streaming query; readers
-take the history and add the open days from the raw events, the streaming
-form of a frozen cache with a live tail.
+Two forms. With a watermark, closed days are appended to a history folder by a
+streaming query; readers take the history and add the open days from the raw
+events, the streaming form of a frozen cache with a live tail. Without one,
+every micro-batch adds its partial sums to a store that is kept from run to run;
+an event of any age, also of a day long closed, is one more partial sum.
 """
 
 from __future__ import annotations
@@ -48,3 +50,27 @@ def with_open_days(history: DataFrame, live: DataFrame) -> DataFrame:
     last = history.agg(F.max("day").alias("_last"))
     tail = live.crossJoin(F.broadcast(last)).where(F.col("_last").isNull() | (F.col("day") > F.col("_last"))).select(live.columns)
     return stack(history.select(live.columns), tail)
+
+
+def _partial(batch: DataFrame, ts: str, keys: Sequence[str], value: str) -> DataFrame:
+    return batch.groupBy(F.to_date(ts).alias("day"), *keys).agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("n"))
+
+
+def merge_days(events: DataFrame, ts: str, keys: Sequence[str], value: str, path: str, checkpoint: str) -> None:
+    """Add what is new in a stream to the stored sums per day and key.
+
+    A micro-batch writes its sums to a folder named by its number, so a batch
+    that runs again after a failure replaces itself and counts once.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        _partial(batch, ts, keys, value).write.mode("overwrite").parquet(f"{path}/parts/batch={number}")
+
+    query = events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def merged_days(spark: SparkSession, path: str, keys: Sequence[str], value: str) -> DataFrame:
+    """Sums and counts per day and key over all batches taken in so far."""
+    parts = spark.read.parquet(f"{path}/parts")
+    return parts.groupBy("day", *keys).agg(F.sum(value).alias(value), F.sum("n").alias("n"))
