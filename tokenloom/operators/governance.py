@@ -23,9 +23,8 @@ def rank_wallets(balances: DataFrame, nonvoting: DataFrame) -> DataFrame:
     """Rank, share and cumulative share of each voting wallet, largest first."""
     bad = nonvoting.select("address").where(F.col("address").isNotNull()).distinct()
     rows = balances.where((F.col("address") != ZERO) & (F.col("balance") > 0)).join(bad, "address", "left_anti")
-    ranked = ordered_scan(rows, BY_SIZE, {"cum_balance": "balance"}, position="wallet_rank")
-    total = rows.agg(F.sum("balance").alias("total"))
-    return scalar_join(ranked, total).select(
+    ranked = ordered_scan(rows, BY_SIZE, {"cum_balance": "balance"}, position="wallet_rank", totals={"total": "cum_balance"})
+    return ranked.select(
         "address", "balance", "wallet_rank", "total", safe_div("balance", "total").alias("share"), safe_div("cum_balance", "total").alias("cum_share")
     )
 
@@ -80,16 +79,13 @@ def gini(df: DataFrame, value: str, key: str) -> DataFrame:
 
 def lorenz(df: DataFrame, value: str, key: str) -> DataFrame:
     """Points of the Lorenz curve: share of holders against share of the total."""
-    ranked = ordered_scan(df.select(key, value), [(value, False), (key, False)], {"_c": value}, position="_i")
-    total = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
-    return scalar_join(ranked, total).select(key, safe_div("_i", "_n").alias("population_share"), safe_div("_c", "_s").alias("value_share"))
+    ranked = ordered_scan(df.select(key, value), [(value, False), (key, False)], {"_c": value}, position="_i", totals={"_s": "_c"}, count="_n")
+    return ranked.select(key, safe_div("_i", "_n").alias("population_share"), safe_div("_c", "_s").alias("value_share"))
 
 
 def min_voters(holders: DataFrame, quorum: float) -> DataFrame:
     """Fewest holders that exceed the quorum, and fewest when only the smaller ones vote; one row."""
-    ranked = ordered_scan(holders.select("address", "balance"), BY_SIZE, {"_c": "balance"}, position="_r")
-    total = holders.agg(F.count(F.lit(1)).alias("_n"), F.sum("balance").alias("_s"))
-    j = scalar_join(ranked, total)
+    j = ordered_scan(holders.select("address", "balance"), BY_SIZE, {"_c": "balance"}, position="_r", totals={"_s": "_c"}, count="_n")
     rest = F.col("_s") - F.col("_c")
     return j.agg(
         F.min(F.when(F.col("_c") > quorum, F.col("_r"))).alias("min_voters"),
@@ -108,10 +104,8 @@ def _percentile_band(percentile: Column, bands: Sequence[float]) -> Column:
 
 def percentile_bands(holders: DataFrame, bands: Sequence[float] = PERCENTILES) -> DataFrame:
     """Percentile band of each holder by descending balance."""
-    ranked = ordered_scan(holders.select("address", "balance"), BY_SIZE, {"_c": "balance"}, position="_r")
-    total = holders.agg(F.count(F.lit(1)).alias("_n"), F.sum("balance").alias("_s"))
-    pct = (F.col("_r") - 1) / F.col("_n") * 100
-    j = scalar_join(ranked, total).withColumn("percentile", pct)
+    ranked = ordered_scan(holders.select("address", "balance"), BY_SIZE, {"_c": "balance"}, position="_r", totals={"_s": "_c"}, count="_n")
+    j = ranked.withColumn("percentile", (F.col("_r") - 1) / F.col("_n") * 100)
     return j.select("address", "balance", "percentile", (safe_div("_c", "_s") * 100).alias("percent_of_supply"), _percentile_band(F.col("percentile"), bands).alias("band"))
 
 

@@ -129,16 +129,16 @@ def flag_bots(moves: DataFrame, keys: Sequence[str] = ("token", "holder"), eps:
 
 def holder_stats(change: DataFrame, min_balance: float = 1) -> DataFrame:
     """Per token: holders ever, holders above the floor, their mean, median and total."""
-    last = cut_lineage(balance_latest(change))  # one row per holder, read by three aggregates
-    held = last.where(F.col("balance") >= min_balance)
-    ever = last.groupBy("token").agg(F.count(F.lit(1)).alias("ever_held"))
-    now = held.groupBy("token").agg(
-        F.count(F.lit(1)).alias("holders_now"),
-        (F.sum("balance").cast("double") / F.count(F.lit(1))).alias("avg_balance"),
-        F.sum("balance").alias("total_balance"),
+    last = balance_latest(change)
+    big = F.col("balance") >= min_balance
+    stats = last.groupBy("token").agg(
+        F.count(F.lit(1)).alias("ever_held"),
+        F.count(F.when(big, F.lit(1))).alias("holders_now"),
+        (F.sum(F.when(big, F.col("balance"))).cast("double") / F.count(F.when(big, F.lit(1)))).alias("avg_balance"),
+        F.sum(F.when(big, F.col("balance"))).alias("total_balance"),
     )
-    med = exact_quantile(held, ["token"], "balance", 0.5, "median_balance")
-    return ever.join(now, "token", "left").join(med, "token", "left")
+    med = exact_quantile(last.where(big), ["token"], "balance", 0.5, "median_balance")
+    return stats.join(med, "token", "left")
 
 
 def threshold_change(on_change: DataFrame, threshold: float) -> DataFrame:
