@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import windows as W
 from ..functions.scalar import dbl, safe_div
 from .aggregates import count_if, sum_if
-from .joins import either_side_join
 from .timeseries import spine
 
 
@@ -80,8 +79,13 @@ def trading_volume(trades: DataFrame, prices: DataFrame, products: Sequence[str]
     """Dollar volume per product and day with a trailing mean over the days that traded."""
     product = F.when(F.col("token_a").isin(*products), F.col("token_a")).when(F.col("token_b").isin(*products), F.col("token_b"))
     rows = trades.withColumn("product", product).where(F.col("product").isNotNull())
-    usd = either_side_join(rows, prices, ["tx_hash", "trace", "evt_index", "product", "day"], "minute", ("token_a", "amount_a"), ("token_b", "amount_b"))
-    v = usd.groupBy("product", "day").agg(F.sum("usd_amount").alias("usd_volume"))
+    once = rows.select("tx_hash", "trace", "evt_index", "product", "day", "minute", "token_a", "amount_a", "token_b", "amount_b").distinct()
+    # equal trades are gone, so amounts are added first and few rows meet the prices, once for both sides
+    sums = once.groupBy("product", "day", "minute", "token_a", "token_b").agg(F.sum("amount_a").alias("a"), F.sum("amount_b").alias("b"))
+    quoted = prices.groupBy("minute").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "price"))).alias("_p"))  # one entry a base asset
+    own, other = F.col("_p")[F.col("token_a")], F.col("_p")[F.col("token_b")]
+    usd = sums.join(quoted, "minute").withColumn("usd", F.coalesce(F.col("a") * own, F.col("b") * other))
+    v = usd.where("usd is not null").groupBy("product", "day").agg(F.sum("usd").alias("usd_volume"))
     return v.withColumn("av", W.moving_avg("usd_volume", ["product"], "day", preceding))
 
 

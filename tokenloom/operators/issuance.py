@@ -79,6 +79,28 @@ def unit_supply(events: DataFrame, start: str, as_of: str, by: Sequence[str] = (
     return g.select(*by, "day", W.running_sum_peers("d", list(by), "day").alias("units"))
 
 
+def supply_and_moves(events: DataFrame, start: str, as_of: str) -> DataFrame:
+    """Unit supply and issued plus redeemed amount per symbol on every day from ``start``, in one scan of the events.
+
+    Days are made from the steps of the supply, so no grid of symbols is read first.
+    """
+    first, stop = F.lit(start).cast("date"), F.date_add(F.lit(as_of).cast("date"), 1)
+    daily = events.where((F.col("day") >= first) & (F.col("day") < stop)).groupBy("symbol", "day").agg(
+        F.sum(signed_amount()).alias("net"), F.sum("amount").alias("gross")
+    )
+    w = W.over(["symbol"], "day")
+    steps = daily.select(
+        "symbol", "day", "gross", W.running_sum("net", ["symbol"], "day").alias("units"),
+        F.lead("day", 1).over(w).alias("_next"), (F.row_number().over(w) == 1).alias("_first"),
+    )
+    none = F.lit(0)
+    own = F.struct(F.col("day").alias("_a"), F.coalesce("_next", stop).alias("_z"), "units", "gross")
+    before = F.struct(first.alias("_a"), F.col("day").alias("_z"), none.cast(steps.schema["units"].dataType).alias("units"), none.cast(steps.schema["gross"].dataType).alias("gross"))
+    pieces = steps.select("symbol", F.explode(F.when(F.col("_first"), F.array(before, own)).otherwise(F.array(own))).alias("p")).select("symbol", "p.*").where("_a < _z")
+    days = pieces.select("symbol", "_a", "units", "gross", F.explode(F.sequence(F.col("_a"), F.date_sub("_z", 1), F.expr("interval 1 day"))).alias("day"))
+    return days.select("symbol", "day", "units", F.when(F.col("day") == F.col("_a"), F.col("gross")).otherwise(none).alias("gross"))
+
+
 def mint_volume(events: DataFrame, start: str, as_of: str, preceding: int = 7, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """Issued amount per day with a trailing mean over ``preceding + 1`` rows."""
     daily = events.where(_is("Issue")).groupBy(*by, "day").agg(F.sum("amount").alias("amount"))

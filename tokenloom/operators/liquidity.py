@@ -11,7 +11,7 @@ from ..functions import windows as W
 from ..functions.frames import stack
 from ..functions.scalar import ZERO, dbl, safe_div, sqrt_price, tick_price, to_int
 from .aggregates import with_total
-from .joins import asof_last, previous_row, running_total, scalar_join
+from .joins import asof_last, previous_row, running_totals, scalar_join
 from .ledger import signed_ledger
 from .timeseries import closing, expand_intervals, spine, step_intervals
 
@@ -51,10 +51,10 @@ def position_intervals(changes: DataFrame, keys: Sequence[str], as_of: str) -> D
     return step_intervals(run, keys, "day", as_of).where(F.col("amount") > 0)
 
 
-def closing_prices(swaps: DataFrame, order: Sequence[str], as_of: str | None) -> DataFrame:
-    """Last swap price per pool and day; with ``as_of`` carried over days without swaps."""
+def closing_prices(swaps: DataFrame, order: Sequence[str], as_of: str) -> DataFrame:
+    """Last swap price per pool and day, carried over days without swaps up to ``as_of``."""
     close = closing(swaps, ["pool", "day"], ["price"], order)
-    return close if as_of is None else expand_intervals(step_intervals(close, ["pool"], "day", as_of), "day", "next_day", "day")
+    return expand_intervals(step_intervals(close, ["pool"], "day", as_of), "day", "next_day", "day")
 
 
 def v2_swap_price(in0: str, out0: str, in1: str, out1: str) -> Column:
@@ -141,8 +141,7 @@ def reserves_v3(moves: Sequence[DataFrame], pools: DataFrame, prices: DataFrame,
     union and a sum stand in for the three-way full join.
     """
     per = stack(*moves).groupBy("pool", "ts", "day", bucket).agg(F.sum("amount0").alias("a0"), F.sum("amount1").alias("a1"))
-    run = running_total(per, ["pool"], ["ts"], "a0", "r0", F.col("day"))
-    run = running_total(run, ["pool"], ["ts"], "a1", "r1", F.col("day"))
+    run = running_totals(per, ["pool"], ["ts"], {"r0": "a0", "r1": "a1"}, F.col("day"))
     sums = run.groupBy("pool", "day", bucket).agg(F.sum(dbl("r0")).alias("r0"), F.sum(dbl("r1")).alias("r1"), F.count(F.lit(1)).alias("n"))
     j = _priced(sums.join(pools.select("pool", "token0", "token1"), "pool"), prices, bucket, "left")
     usd = F.col("r0") * F.col("p0") + F.col("r1") * F.col("p1")

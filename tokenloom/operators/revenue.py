@@ -42,14 +42,19 @@ def revenue_daily(issuance: DataFrame, price: DataFrame, fees: DataFrame) -> Dat
     )
 
 
-def revenue_const(funds: DataFrame, issuance: DataFrame, rate: Mapping[str, float], move_fee: Mapping[str, float], preceding: int = 7) -> DataFrame:
-    """Daily revenue from constant rates: streaming on AUM, and a fee on minted plus redeemed units."""
+def revenue_const(funds: DataFrame, issuance: DataFrame | None, rate: Mapping[str, float], move_fee: Mapping[str, float], preceding: int = 7) -> DataFrame:
+    """Daily revenue from constant rates: streaming on AUM, and a fee on minted plus redeemed units.
+
+    ``funds`` may bring the moved units as ``gross``; else they are joined from ``issuance``.
+    """
     def lookup(rates: Mapping[str, float]):
         pairs = [x for k, v in rates.items() for x in (F.lit(k), F.lit(float(v)))]
         return F.coalesce(F.create_map(*pairs)[F.col("symbol")], F.lit(0.0))
 
-    moved = issuance.select("symbol", "day", dbl("gross").alias("gross"))
-    j = funds.join(moved, ["symbol", "day"], "left")
+    if issuance is None:
+        j = funds.withColumn("gross", dbl("gross"))
+    else:
+        j = funds.join(issuance.select("symbol", "day", dbl("gross").alias("gross")), ["symbol", "day"], "left")
     streaming = F.col("aum") * lookup(rate) / F.lit(365.0)
     moves = F.coalesce(F.col("gross") * F.col("price") * lookup(move_fee), F.lit(0.0))
     out = j.select("symbol", "day", "aum", streaming.alias("streaming"), moves.alias("mint_redeem"), (streaming + moves).alias("revenue"))

@@ -126,6 +126,12 @@ class Tables:
     def redeemed(self) -> DataFrame:
         return self.orders.where(F.col("o_orderstatus") == "O").select("ts", "day", "tx_hash", "symbol", "wallet", "amount")
 
+    @cached_property
+    def moves(self) -> DataFrame:
+        """Issued and redeemed amounts in one scan, the kind as a column."""
+        kind = F.when(F.col("o_orderstatus") == "O", F.lit("Redeem")).otherwise(F.lit("Issue"))
+        return self.orders.select("ts", "day", "tx_hash", "symbol", "wallet", "amount", kind.alias("evt_type"))
+
     @cached_property
     def exchange_txs(self) -> DataFrame:
         """Exchange events; one transaction can have several."""
