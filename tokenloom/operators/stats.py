@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,30 +45,32 @@ def last_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(F.col(order).desc()).limit(n)
 
 
-def _two_sided_p(t: float, dof: float) -> float:
-    """Two-sided tail of Student's t by the continued fraction of the incomplete beta."""
-    x = dof / (dof + t * t)
-    a, b = dof / 2, 0.5
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    swap = x > (a + 1) / (a + b + 2)
-    if swap:
-        a, b, x = b, a, 1 - x
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1.0 / (1 - (a + b) * x / (a + 1))
-    f = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 / (1 + num * d), 1 + num / c
-            f *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return 1 - front * f if swap else front * f
-
-
-@F.pandas_udf(T.DoubleType())
-def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([_two_sided_p(a, b) if a == a else float("nan") for a, b in zip(t, dof)])
+TAIL_STEPS = 2000  # Simpson's rule, an even number
+
+
+def log_two_sided_p(t: Column, dof: Column, steps: int = TAIL_STEPS) -> Column:
+    """Natural logarithm of the two-sided tail of Student's t, as an expression.
+
+    With t = sqrt(dof) tan(a) the density becomes cos(a)**(dof - 1); the tail is
+    its integral from a0 = atan(|t| / sqrt(dof)) to pi / 2 over that from 0. The
+    value at a0 is taken out as a logarithm, and the integral runs as far as the
+    rest matters, so very small tails keep their digits.
+    """
+    power = dof - F.lit(1.0)
+
+    def integral(a: Column) -> Column:
+        reach = F.least(F.lit(math.pi / 2) - a, F.lit(40.0) / (power * F.tan(a) + F.sqrt(dof)))
+        h = reach / F.lit(float(steps))
+
+        def term(i: Column) -> Column:
+            weight = F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+            return weight * F.exp(power * (F.log(F.greatest(F.cos(a + i * h), F.lit(1e-300))) - F.log(F.cos(a))))
+
+        total = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda acc, i: acc + term(i))
+        return total * h / F.lit(3.0)
+
+    a0 = F.atan(F.abs(t) / F.sqrt(dof))
+    return power * F.log(F.cos(a0)) + F.log(integral(a0)) - F.log(integral(F.lit(0.0)))
 
 
 def linreg(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -80,45 +82,47 @@ def linreg(df: DataFrame, x: str, y: str) -> DataFrame:
     )
     se = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("r") * F.col("r")) * F.col("_syy") / F.col("_sxx") / F.nullif(F.col("n") - 2, F.lit(0)))
     s = s.withColumn("std_err", se).withColumn("_t", safe_div("slope", "std_err"))
-    # one row reaches Python: the t distribution has no SQL function
-    return s.select("n", "slope", "intercept", "r", _p_value("_t", dbl(F.col("n") - 2)).alias("p_value"), "std_err")
+    log_p = F.when(F.col("n") > 2, log_two_sided_p(F.col("_t"), dbl(F.col("n") - 2)))
+    # a line without residuals leaves no tail
+    p = F.when((F.col("std_err") == 0) & (F.col("slope") != 0), F.lit(0.0)).otherwise(F.exp(log_p))
+    return s.select("n", "slope", "intercept", "r", p.alias("p_value"), "std_err", (log_p / F.lit(math.log(10))).alias("log10_p"))
+
 
+# cumulative probabilities of the Poisson distribution with mean one, as shares of 2**32
+POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(13)]
+MASK = 2**32 - 1
 
-# cumulative probabilities of the Poisson distribution with mean one
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
+def _mixed(x: Column) -> Column:
+    """Bijective mixing of 32-bit numbers held as bigint; the factors keep products below 2**63."""
+    for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+        x = x.bitwiseXOR(F.shiftright(x, shift)).cast("bigint") * F.lit(factor)
+        x = x.bitwiseAND(F.lit(MASK))
+    return x.bitwiseXOR(F.shiftright(x, 15))
 
-def _mix(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+
+def poisson_weight(key: Column, replicate: Column, seed: int) -> Column:
+    """Poisson(1) weight of a row in a replicate: a function of both, whatever the split of the rows."""
+    h = _mixed((key.cast("bigint") + F.lit(seed * 7919)).bitwiseAND(F.lit(MASK)))
+    u = _mixed(h.bitwiseXOR((replicate.cast("bigint") * F.lit(2654435761)).bitwiseAND(F.lit(MASK))))
+    return reduce(add, [F.when(u >= edge, 1.0).otherwise(0.0) for edge in POISSON])
 
 
 def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 10000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Sample deviation and its bootstrap interval; one row.
 
-    Resampling by Poisson(1) weights: the weight of a row in a replicate is a
-    hash of (row key, replicate, seed), so results do not depend on how rows
-    are split. Each task returns three sums per replicate; rows are never
-    multiplied across the network.
+    Resampling by Poisson(1) weights that hash (row key, replicate, seed); the
+    key is a whole number or a date. Each task makes its rows' replicates and
+    adds them to three sums per replicate before anything is shuffled.
     """
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reps = _mix(np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        acc = np.zeros((3, n_boot))
-        for pdf in batches:
-            h, x = pdf["_h"].to_numpy().astype(np.int64).view(np.uint64), pdf["_x"].to_numpy(dtype=float)
-            for i in range(0, len(x), 256):
-                u = _mix(h[i : i + 256, None] ^ reps[None, :]) >> np.uint64(11)
-                w = np.searchsorted(_POISSON, u.astype(float) / 2.0**53).astype(float)
-                xs = x[i : i + 256]
-                acc += np.stack([w.sum(0), xs @ w, (xs * xs) @ w])
-        yield pd.DataFrame({"rep": np.arange(n_boot), "w": acc[0], "wx": acc[1], "wxx": acc[2]})
-
     x = dbl(value)
+    whole = F.unix_date(key) if isinstance(df.schema[key].dataType, T.DateType) else F.col(key)
     center = df.agg(F.avg(x).alias("_c"))  # sums of squares around the mean keep their digits
-    rows = scalar_join(df.where(x.isNotNull()), center).select(F.xxhash64(F.col(key)).alias("_h"), (x - F.col("_c")).alias("_x"))
-    per = rows.mapInPandas(sums, "rep long, w double, wx double, wxx double")
-    tot = per.groupBy("rep").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx"))
+    rows = scalar_join(df.where(x.isNotNull()), center).select(whole.alias("_k"), (x - F.col("_c")).alias("_x"))
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k")  # a short series, too, is replicated by all cores
+    each = rows.select("_x", "_k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
+    w = each.select("rep", "_x", poisson_weight(F.col("_k"), F.col("rep"), seed).alias("_w"))
+    tot = w.groupBy("rep").agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_x")).alias("wx"), F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("wxx"))
     var = (F.col("wxx") - F.col("wx") * F.col("wx") / F.nullif(F.col("w"), F.lit(0.0))) / F.nullif(F.col("w") - 1, F.lit(0.0))
     tail = (1 - level) / 2
     ci = tot.select(F.sqrt(F.greatest(var, F.lit(0.0))).alias("_s")).agg(
