@@ -1,6 +1,7 @@
 """Hand-made rows: ties, gaps, NULLs, empty input, hot keys against brute force."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -192,6 +193,32 @@ def test_price_below_inside_above_range(spark):
     assert out[day(0)].amount1 == 0 and out[day(2)].amount0 == 0 and out[day(1)].amount0 == pytest.approx(out[day(1)].amount1)
 
 
+def tail_by_fraction(t, dof):
+    """Two-sided tail of Student's t by the continued fraction of the incomplete beta."""
+    if t == 0:
+        return 1.0
+    x, a, b = dof / (dof + t * t), dof / 2, 0.5
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1.0 / (1 - (a + b) * x / (a + 1))
+    f = d
+    for m in range(1, 400):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + num * d), 1 + num / c
+            f *= c * d
+    return 1 - front * f if swap else front * f
+
+
+def test_bootstrap_weights_follow_the_poisson_law(spark):
+    w = spark.range(400).select(F.explode(F.sequence(F.lit(1), F.lit(500))).alias("rep"), "id").select("rep", S.poisson_weight(F.col("id"), F.col("rep"), 3).alias("w"))
+    got = w.agg(F.avg("w").alias("m"), F.var_pop("w").alias("v"), F.avg((F.col("w") == 0).cast("int")).alias("z")).first()
+    assert (got.m, got.v, got.z) == (pytest.approx(1, abs=0.01), pytest.approx(1, abs=0.02), pytest.approx(math.exp(-1), abs=0.005))
+    means = w.groupBy("rep").agg(F.avg("w").alias("m")).agg(F.stddev("m").alias("s")).first().s
+    assert means == pytest.approx(1 / 20, rel=0.15)  # replicates are not alike
+
+
 def test_statistics(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=200)
@@ -200,8 +227,13 @@ def test_statistics(spark):
     r = S.linreg(df, "x", "y").first()
     slope, intercept = np.polyfit(x, y, 1)
     assert (r.slope, r.intercept) == (pytest.approx(slope), pytest.approx(intercept))
-    assert S._two_sided_p(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
-    assert S._two_sided_p(0.5, 3) == pytest.approx(0.6514, abs=1e-4)
+    points = [(2.0, 10.0), (0.5, 3.0), (0.0, 7.0), (1.0, 1.0), (-12.706204736, 1.0), (3.0, 2400.0), (20.0, 2400.0), (40.0, 3.0)]
+    tails = spark.createDataFrame(points, "t double, dof double").select("t", "dof", S.log_two_sided_p(F.col("t"), F.col("dof")).alias("lp")).collect()
+    for r in tails:
+        assert r.lp == pytest.approx(math.log(tail_by_fraction(abs(r.t), r.dof)), rel=1e-7, abs=1e-9), (r.t, r.dof)
+    exact = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(9)], "x double, y double")
+    assert S.linreg(exact, "x", "y").first().p_value == pytest.approx(0.0, abs=1e-12)
+    assert S.linreg(exact.limit(2), "x", "y").first().n == 2
     one = S.bootstrap_ci(df, "i", "x", n_boot=500).first()
     two = S.bootstrap_ci(df.repartition(7), "i", "x", n_boot=500).first()
     assert one.ci_low == pytest.approx(two.ci_low) and one.ci_low < one["std"] < one.ci_high

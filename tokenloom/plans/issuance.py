@@ -88,8 +88,8 @@ def revenue(t: Tables):
 
 
 def constant_revenue(t: Tables):
-    funds = R.aum(I.unit_supply(events(t), ORDERS_START, ORDERS_AS_OF), t.prices)
-    return R.revenue_const(funds, daily(t), RATE, MOVE)
+    funds = R.aum(I.supply_and_moves(t.moves, ORDERS_START, ORDERS_AS_OF), t.prices)
+    return R.revenue_const(funds, None, RATE, MOVE)
 
 
 @report("j01_issuance_events", sql("iss", "select ts, day, tx_hash, symbol, wallet, cast(amount as double) as amount, evt_type, use_type from iss"))
@@ -209,6 +209,18 @@ def _(t):
     return rnd(P.exchange_volume(logs, TOPIC, "a0".rjust(64, "0"), px, "B0"), 2, "volume")
 
 
+@report("j08_exchange_amounts_exact", sql("ord", f"""
+    select day, lpad('b' || cast(o_custkey % 4 as varchar), 64, '0') as contract, count(*) as n, (sum(o_orderkey)::hugeint * {2**80})::varchar as raw_amount
+    from ord where o_orderstatus = 'P' group by all"""))
+def _(t):
+    paid_in = F.concat(F.lit("b"), F.pmod("o_custkey", F.lit(4)).cast("string"))
+    logs = t.orders.where(F.col("o_orderstatus") == "P").select(
+        "day", F.lit(TOPIC).alias("topic1"), F.concat(F.lit("0x"), F.lpad(paid_in, 64, "0")).alias("topic4"),
+        F.concat(F.lit("0x"), F.lpad(F.concat(F.hex("o_orderkey"), F.lit("0" * 20)), 64, "0")).alias("data"),
+    )
+    return P.exchange_amounts(logs, TOPIC)
+
+
 define_view("feed", "swaps base_minutes event_hours", """
     select product, hour, last_value(u ignore nulls) over w as usd_price, last_value(r ignore nulls) over w as base_ratio
     from (select s.product, h.hour, x.r, x.r * b.p as u

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bitmaps as M
 from ..operators import ledger as L
+from ..operators.timeseries import expand_intervals
+from ..session import scratch_path
 from ..sources.canonical import EVENTS_AS_OF, EVENTS_START, Tables
+from ..streaming import balances as Z
 from .registry import define_view, report, sql
 
 TOKENS = ["P0", "P1", "P2", "P3", "P4"]
@@ -59,6 +63,18 @@ def _(t):
     return L.balance_daily(changes(t), EVENTS_AS_OF)
 
 
+@report("i04_balance_daily_incremental", DAILY)
+def _(t):
+    """A month taken in by two steps and late changes; each step reads its own days only."""
+    store, change = scratch_path(t.spark, "balances"), changes(t)
+    late = F.pmod(F.xxhash64("holder"), F.lit(7)) == 0
+    Z.create(t.spark, store)
+    Z.advance(change.where(~late | (F.col("day") > "2024-01-10")), store, "2024-01-15")
+    Z.advance(change, store, EVENTS_AS_OF)
+    Z.correct(change.where(late & (F.col("day") <= "2024-01-10")), store)
+    return expand_intervals(Z.intervals(t.spark, store), "day", "next_day", "day")
+
+
 @report("i05_balance_daily_dense", DAILY)
 def _(t):
     return L.balance_daily_dense(changes(t), EVENTS_AS_OF)
@@ -101,6 +117,49 @@ def _(t):
     return L.multi_product_holders(changes(t), EVENTS_START, EVENTS_AS_OF)
 
 
+def holder_sets(t: Tables):
+    """Stored sets of holders per (token, day); the reports below read nothing else."""
+    numbers, sets = scratch_path(t.spark, "holder-numbers"), scratch_path(t.spark, "holder-sets")
+    change = changes(t)
+    M.number_members(change, "holder").write.parquet(numbers)
+    open_ = L.balance_intervals(change, EVENTS_AS_OF).where("balance > 0")
+    M.interval_bitmaps(open_, ["token"], "holder", "day", "next_day", t.spark.read.parquet(numbers)).write.parquet(sets)
+    return t.spark.read.parquet(sets)
+
+
+@report("i08_holder_count_stored", sql("daily_bal", "select token, day, count(distinct holder) as holders from daily_bal where balance > 0 group by all"))
+def _(t):
+    return M.count_members(holder_sets(t), ["token", "day"])
+
+
+def _holders_per(unit: str) -> str:
+    return sql("daily_bal", f"select token, cast(date_trunc('{unit}', day) as date) as {unit}, count(distinct holder) as holders from daily_bal where balance > 0 group by all")
+
+
+@report("i08_holders_weekly", _holders_per("week"))
+def _(t):
+    return M.count_members(holder_sets(t), ["token", F.to_date(F.date_trunc("week", "day")).alias("week")])
+
+
+@report("i08_holders_monthly", _holders_per("month"))
+def _(t):
+    return M.count_members(holder_sets(t), ["token", F.to_date(F.date_trunc("month", "day")).alias("month")])
+
+
+@report("i08_holders_of_any_product", sql("daily_bal", """
+    select cast(date_trunc('week', day) as date) as week, count(distinct holder) as holders from daily_bal where balance > 0 and token in ('P1', 'P2', 'P3') group by all"""))
+def _(t):
+    chosen = holder_sets(t).where(F.col("token").isin("P1", "P2", "P3"))
+    return M.count_members(chosen, [F.to_date(F.date_trunc("week", "day")).alias("week")])
+
+
+@report("i09_multi_product_stored", sql("daily_bal", """
+    select day, products, count(*) as holders
+    from (select day, holder, count(distinct token) as products from daily_bal where balance > 0 group by all) group by all"""))
+def _(t):
+    return M.count_by_overlap(holder_sets(t), ["day"], "token", TOKENS, "products")
+
+
 @report("i10_exclude_contracts", sql("changes tags", """
     select token, holder, day, cast(change as double) as change from changes
     where holder not in (select address from tags where type = 'contract') and holder not in ('0x00000003', '0x00000007')"""))

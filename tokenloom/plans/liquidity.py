@@ -15,7 +15,7 @@ from ..operators import prices as P
 from ..operators.timeseries import closing, trend
 from ..sources.canonical import EVENTS_AS_OF, EVENTS_START, ORDERS_AS_OF, Tables, ratio4
 from ..sources.seeds import products
-from .issuance import _trend_sql
+from .issuance import _trend_sql, vwap_hours
 from .registry import _ratio4, define_view, report, rnd, sql
 
 AS_OF_X = "date '2024-02-01'"  # first day after the last one of the events family
@@ -44,8 +44,11 @@ define_view("v3exp", "lpc v3px event_days", f"""
         select address, pool, tick_lower, tick_upper, day, sum(sgn * value) as d from lpc group by all)
       window w as (partition by address, pool, tick_lower, tick_upper order by day)) c
     join event_days e on e.day >= c.day and e.day < c.nxt
-    join (select pool, day, arg_max(sqrt_x96 * sqrt_x96 / 6277101735386680763835789423207666416102355444464034512896.0::double, event_id) as price
-          from v3px group by all) p on p.pool = c.pool and p.day = e.day
+    join (select q.pool, h.day, q.price from (
+            select *, lead(day, 1, {AS_OF_X}) over (partition by pool order by day) as nxt from (
+              select pool, day, arg_max(sqrt_x96 * sqrt_x96 / 6277101735386680763835789423207666416102355444464034512896.0::double, event_id) as price
+              from v3px group by all)) q
+          join event_days h on h.day >= q.day and h.day < q.nxt) p on p.pool = c.pool and p.day = e.day
     where amount > 0""")
 define_view("v2exp", "lpc v2px event_days", f"""
     select c.address, c.pool, e.day, price, sqrt(cast(amount as double) / price) as amount0, sqrt(cast(amount as double) * price) as amount1 from (
@@ -99,7 +102,7 @@ def v3_swaps(t: Tables):
 
 
 def v3_prices(t: Tables):
-    return Q.closing_prices(v3_swaps(t).withColumn("price", sqrt_price("sqrt_x96")), ["event_id"], None)
+    return Q.closing_prices(v3_swaps(t).withColumn("price", sqrt_price("sqrt_x96")), ["event_id"], EVENTS_AS_OF)
 
 
 def v2_exposure(t: Tables):
@@ -461,12 +464,18 @@ def _fine_views(unit: str) -> None:
     define_view(f"navs_{unit}", f"comp_{unit} px_{unit} steps_{unit}", _nav_sql(f"comp_{unit}", f"px_{unit}", f"steps_{unit}", unit, "timestamp '2024-01-31'"))
 
 
-def fine_nav(t: Tables, unit: str):
-    """Basket value and pool price of P0 per hour or minute."""
+def fine_basket(t: Tables, unit: str):
+    """Composition per hour or minute, and the trades behind it."""
     e = t.ev.withColumn(unit, F.date_trunc(unit, "ts"))
     traded = e.where(F.col("event_type").isin("view", "click"))
     mints = e.where("event_type = 'signup'").select("tx_hash", unit, "event_id", F.col("value").alias("quantity"))
     comp = N.composition(mints, traded.select("tx_hash", F.col("pool").alias("component"), F.col("value").alias("amount")), unit, ["event_id"])
+    return comp, traded
+
+
+def fine_nav(t: Tables, unit: str):
+    """Basket value and pool price of P0 per hour or minute."""
+    comp, traded = fine_basket(t, unit)
     px = traded.groupBy(F.col("pool").alias("component"), unit).agg(ratio4(F.sum("value"), F.count(F.lit(1))).alias("price"))
     return N.nav_vs_market(N.basket_nav(comp, px, unit, EVENTS_AS_OF, f"1 {unit}"), px.where("component = 'P0'"), unit)
 
@@ -480,6 +489,33 @@ for _unit in ("hour", "minute"):
         return rnd(fine_nav(t, unit), 4, "nav")
 
 
+define_view("pool_px", "vwap_hours", "select symbol as component, hour, price_filled as price from vwap_hours where price_filled is not null")
+define_view("navs_pools", "comp_hour pool_px steps_hour", _nav_sql("comp_hour", "pool_px", "steps_hour", "hour", "timestamp '2024-01-31'"))
+
+
+def pool_nav(t: Tables):
+    """Basket value and market price from volume-weighted pool prices times the base price, gaps carried."""
+    comp, _ = fine_basket(t, "hour")
+    px = vwap_hours(t).where("price_filled is not null").select(F.col("symbol").alias("component"), "hour", F.col("price_filled").alias("price"))
+    return N.basket_nav(comp, px, "hour", EVENTS_AS_OF, "1 hour"), px.where("component = 'P0'")
+
+
+@report("m02_nav_vs_market_pools", sql("navs_pools", """
+    select p.hour, price as market_price, round(nav, 4) as nav from pool_px p left join navs_pools n on n.hour = p.hour where p.component = 'P0'"""))
+def _(t):
+    nav_, market = pool_nav(t)
+    return rnd(N.nav_vs_market(nav_, market, "hour"), 4, "nav")
+
+
+@report("m09_premium_discount_pools", sql("navs_pools", """,
+    m as (select hour, avg(price) over (order by hour rows 11 preceding) as market_price from pool_px where component = 'P0')
+    select n.hour, round(nav, 4) as nav, round(market_price, 6) as market_price, round((market_price - nav) / nullif(nav, 0), 9) as premium
+    from navs_pools n join m on m.hour = n.hour where nav is not null and market_price is not null"""))
+def _(t):
+    nav_, market = pool_nav(t)
+    return rnd(rnd(rnd(N.premium_discount(nav_, market, "hour"), 4, "nav"), 6, "market_price"), 9, "premium")
+
+
 @report("m09_premium_discount", sql("navs prices", """,
     m as (select day, cast(sum(price) over w as double) / count(price) over w as market_price from prices where symbol = 'P0' window w as (order by day rows 11 preceding))
     select n.day, round(nav, 4) as nav, market_price, round((market_price - nav) / nullif(nav, 0), 9) as premium

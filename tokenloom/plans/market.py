@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import market as M
@@ -123,17 +125,43 @@ def _(t):
                  regr_sxx(price, base_price) as xx, regr_syy(price, base_price) as yy from pair)
     select n, round(slope, 9) as slope, round(intercept, 5) as intercept, round(r, 9) as r, round(sqrt((1 - r * r) * yy / xx / (n - 2)), 9) as std_err from s"""))
 def _(t):
-    return rnd(rnd(S.linreg(pair(t), "base_price", "price").drop("p_value"), 9, "slope", "r", "std_err"), 5, "intercept")
+    return rnd(rnd(S.linreg(pair(t), "base_price", "price").drop("p_value", "log10_p"), 9, "slope", "r", "std_err"), 5, "intercept")
 
 
-@report("p06_linreg_p_value")
-def _(t):
-    return S.linreg(pair(t), "base_price", "price").select("n", "p_value")
+def _tail_sql(a: str) -> str:
+    """Integral of (cos x / cos a)**(dof - 1) from a as far as it matters, by Simpson's rule."""
+    n = S.TAIL_STEPS
+    reach = f"least({math.pi / 2} - {a}, 40.0::double / ((dof - 1) * tan({a}) + sqrt(dof)))"
+    weight = f"case when i = 0 or i = {n} then 1.0 when i % 2 = 1 then 4.0 else 2.0 end"
+    at = f"{a} + i * {reach} / {n}.0::double"
+    return f"(list_sum(list_transform(range({n + 1}), lambda i: {weight}::double * exp((dof - 1) * (ln(greatest(cos({at}), 1e-300)) - ln(cos({a})))))) * {reach} / {3 * n}.0::double)"
 
 
-@report("p07_bootstrap_ci")
+@report("p06_linreg_p_value", sql("pair", f""",
+    s as (select count(*) as n, regr_slope(price, base_price) as slope, corr(price, base_price) as r, regr_sxx(price, base_price) as xx, regr_syy(price, base_price) as yy from pair),
+    u as (select n, cast(n - 2 as double) as dof, slope / sqrt((1 - r * r) * yy / xx / (n - 2)) as t from s),
+    v as (select n, dof, atan(abs(t) / sqrt(dof)) as a, 0.0::double as o from u),
+    l as (select n, (dof - 1) * ln(cos(a)) + ln({_tail_sql("a")}) - ln({_tail_sql("o")}) as lp from v)
+    select n, round(exp(lp), 9) as p_value, round(lp / {math.log(10)}, 6) as log10_p from l"""))
+def _(t):
+    return rnd(rnd(S.linreg(pair(t), "base_price", "price").select("n", "p_value", "log10_p"), 9, "p_value"), 6, "log10_p")
+
+
+@report("p07_bootstrap_ci", sql("prices", f""",
+    d as (select datediff('day', date '1970-01-01', day) as k, cast(price as double) - avg(cast(price as double)) over () as x from prices where symbol = 'P0'),
+    a as (select *, (k & {S.MASK})::bigint as h0 from d),
+    b as (select x, (xor(h0, h0 >> 15) * {0x2C1B3C6D}) & {S.MASK} as h1 from a),
+    c as (select x, (xor(h1, h1 >> 12) * {0x297A2D39}) & {S.MASK} as h2 from b),
+    e as (select x, rep, xor(xor(h2, h2 >> 15), (rep * 2654435761) & {S.MASK}) as g0 from c, (select unnest(range(1, 10001)) as rep)),
+    f as (select x, rep, (xor(g0, g0 >> 15) * {0x2C1B3C6D}) & {S.MASK} as g1 from e),
+    g as (select x, rep, (xor(g1, g1 >> 12) * {0x297A2D39}) & {S.MASK} as g2 from f),
+    u as (select x, rep, xor(g2, g2 >> 15) as u from g),
+    w as (select x, rep, {" + ".join(f"(u >= {edge})::int" for edge in S.POISSON)} as w from u),
+    s as (select rep, sum(w)::double as w, sum(w * x) as wx, sum(w * x * x) as wxx from w group by rep),
+    v as (select sqrt(greatest((wxx - wx * wx / w) / (w - 1), 0)) as s from s)
+    select (select count(*) from d) as n, (select round(stddev_samp(x), 6) from d) as std, round(quantile_cont(s, 0.025), 6) as ci_low, round(quantile_cont(s, 0.975), 6) as ci_high from v"""))
 def _(t):
-    return S.bootstrap_ci(t.prices.where("symbol = 'P0'"), "day", "price", n_boot=10000, seed=0)
+    return rnd(S.bootstrap_ci(t.prices.where("symbol = 'P0'"), "day", "price", n_boot=10000, seed=0), 6, "std", "ci_low", "ci_high")
 
 
 @report("p08_rolling", sql("ord", """,

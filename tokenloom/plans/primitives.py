@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as B
+from ..functions import uint256 as U
 from ..functions import windows as W
 from ..functions.frames import stack
+from ..functions.tables import create_lp_positions
 from ..operators import aggregates as A
+from ..operators import bitmaps as M
 from ..operators import joins as J
 from ..operators import ledger as L
 from ..operators import timeseries as T
 from ..operators.governance import DECIDING
 from ..operators.liquidity import lp_share
 from ..operators.market import wide_filled
-from ..operators.ordering import exact_quantile, group_median, ordered_scan
+from ..operators.ordering import exact_quantile, exact_quantiles, group_median, ordered_scan
 from ..operators.staking import top_stakes
 from ..operators.stats import rolling
 from ..session import scratch_path
@@ -57,6 +62,21 @@ def _(t):
     return R.decode_logs(logs, "P", {"amount": ("data", 0, "number"), "other": ("data", 1, "number"), "payer": ("topic2", 0, "address")})
 
 
+HIGH = 2**256 - 2**64  # words whose upper 192 bits are set
+
+
+@report("a03_decode_logs_exact", sql("ord", f"""
+    select tx_hash, (cast('{HIGH}' as bignum) + cast(o_orderkey * 1000000007 as bignum))::varchar as amount, cast(-1 - o_custkey as varchar) as change, cast(o_custkey as varchar) as other
+    from ord where o_orderstatus = 'P'"""))
+def _(t):
+    high = F.lit("f" * 48)
+    logs = t.orders.select(
+        "tx_hash", F.col("o_orderstatus").alias("topic1"),
+        F.concat(F.lit("0x"), high, F.lpad(F.hex(F.col("o_orderkey") * 1000000007), 16, "0"), high, F.hex(-1 - F.col("o_custkey")), F.lpad(F.hex("o_custkey"), 64, "0")).alias("data"),
+    )
+    return R.decode_logs(logs, "P", {"amount": ("data", 0, "uint256_text"), "change": ("data", 1, "int256_text"), "other": ("data", 2, "int256_text")})
+
+
 @report("a04_read_csv", sql("", "select p_partkey, p_brand, p_retailprice from part"))
 def _(t):
     path = scratch_path(t.spark, "parts-csv")
@@ -424,6 +444,14 @@ def _(t):
     return t.transfers.groupBy("day").agg(F.countDistinct("to_addr").alias("receivers"))
 
 
+@report("d02_count_distinct_stored", sql("ev", "select pool, count(distinct address) as users from ev group by pool"))
+def _(t):
+    numbers = scratch_path(t.spark, "user-numbers")
+    M.number_members(t.ev, "address").write.parquet(numbers)
+    daily = M.bitmaps(t.ev.select("pool", "day", "address"), ["pool", "day"], "address", t.spark.read.parquet(numbers))
+    return M.count_members(daily, ["pool"], "users")
+
+
 @report("d03_filtered_aggregates", sql("trades", """
     select day, count(*) filter (where token_a = 'P0') as buys, count(*) filter (where token_b = 'P0') as sells, cast(sum(amount_a) filter (where token_a = 'P0') as double) as bought from trades group by day"""))
 def _(t):
@@ -524,10 +552,8 @@ def _(t):
            round(quantile_cont(cast(balance as double), 0.25), 6) as p25, round(quantile_cont(cast(balance as double), 0.5), 6) as p50, round(quantile_cont(cast(balance as double), 0.75), 6) as p75
     from holders"""))
 def _(t):
-    out = A.describe(t.holders, "balance")
-    for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
-        out = J.scalar_join(out, exact_quantile(t.holders, [], "balance", p, name))
-    return rnd(out, 6, "std", "p25", "p50", "p75")
+    quartiles = exact_quantiles(t.holders, [], "balance", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return rnd(J.scalar_join(A.describe(t.holders, "balance"), quartiles), 6, "std", "p25", "p50", "p75")
 
 
 @report("d18_with_total", sql("ord", """
@@ -620,8 +646,8 @@ def _(t):
 @report("e13_cumulative_share", sql("holders", """
     select address, cast(sum(balance) over (order by balance desc, address rows unbounded preceding) as double) / cast(sum(balance) over () as double) as cum_share from holders"""))
 def _(t):
-    scan = ordered_scan(t.holders, [("balance", True), ("address", False)], {"c": "balance"})
-    return J.scalar_join(scan, t.holders.agg(F.sum("balance").alias("_s"))).select("address", B.safe_div("c", "_s").alias("cum_share"))
+    scan = ordered_scan(t.holders, [("balance", True), ("address", False)], {"c": "balance"}, totals={"_s": "c"})
+    return scan.select("address", B.safe_div("c", "_s").alias("cum_share"))
 
 
 @report("e14_share_in_partition", sql("ord", f", {DAILY} select symbol, day, cast(v as double) / cast(sum(v) over (partition by day) as double) as x from d"))
@@ -777,6 +803,28 @@ def _(t):
     return lp_share(t.transfers, "P2", "P1", "0x00000005", before="2024-01-03")
 
 
+def lp_functions(t):
+    view = f"ledger_{uuid.uuid4().hex}"
+    t.transfers.createOrReplaceTempView(view)
+    create_lp_positions(t.spark, view)
+
+
+@report("h02_lp_positions_as_of_sql", sql("lp_pos", "select * from lp_pos"))
+def _(t):
+    lp_functions(t)
+    return t.spark.sql("select * from lp_positions_as_of('P2', 'P1', '0x00000005', date '2024-01-03')")
+
+
+@report("h01_lp_positions_sql", sql("signed", """,
+    s as (select token, holder, sum(amount) as amount from signed where token = 'P2' or (token = 'P1' and holder = '0x00000005') group by all)
+    select 'P2/P1' as pool, holder, cast(amount as double) / cast((select -sum(amount) from s where token = 'P2' and holder = '0x00000000') as double)
+                   * cast((select sum(amount) from s where token = 'P1' and holder = '0x00000005') as double) as position
+    from s where token = 'P2' and holder <> '0x00000000' and amount > 0.01"""))
+def _(t):
+    lp_functions(t)
+    return t.spark.sql("select 'P2/P1' as pool, holder, position from lp_positions('P2', 'P1', '0x00000005') where position is not null")
+
+
 @report("h04_row_functions", sql("props", "select proposal_id, category, cast(result as bigint) as result from props"))
 def _(t):
     return cleaned(t).select("proposal_id", "category", "result")
@@ -787,6 +835,15 @@ def _(t):
     return t.orders.select("o_orderkey", B.hex_to_number(F.hex(F.col("o_orderkey") * 1000000007)).alias("x"))
 
 
+@report("h03_hex_to_number_exact", sql("ord", f"""
+    , x as (select symbol, cast('{2**200}' as bignum) + cast(o_orderkey * 1000000007 as bignum) as v from ord)
+    select symbol, sum(v)::varchar as total, max(v)::varchar as high, min(v)::varchar as low, (max(v) - min(v))::varchar as spread from x group by symbol"""))
+def _(t):
+    word = F.concat(F.lit("1"), F.lpad(F.hex(F.col("o_orderkey") * 1000000007), 50, "0"))
+    g = t.orders.select("symbol", U.from_hex(word).alias("v")).groupBy("symbol").agg(U.total("v").alias("total"), F.max("v").alias("high"), F.min("v").alias("low"))
+    return g.withColumn("spread", U.subtract("high", "low")).select("symbol", *[U.to_text(c).alias(c) for c in ("total", "high", "low", "spread")])
+
+
 @report("h05_count_true", sql("winning", "select category, count(*) filter (where is_deciding_vote = 'Was Deciding Voter') as n from winning group by category"))
 def _(t):
     return winning(t).groupBy("category").agg(A.count_if(F.col("is_deciding_vote") == DECIDING[0]).alias("n"))
@@ -804,3 +861,11 @@ def _(t):
     live = D.daily_sums(static, "ts", ["event_type"], "value")
     history = t.spark.read.schema(live.schema).parquet(out)
     return D.with_open_days(history, live)
+
+
+@report("s02_stream_late_events", sql("ev", "select day, event_type, cast(sum(value) as double) as value, count(*) as n from ev group by all"))
+def _(t):
+    store, chk = scratch_path(t.spark, "merged-days"), scratch_path(t.spark, "merged-days-chk")
+    stream = D.event_stream(t.spark, t.path, t.raw("events"), "events.parquet").withColumn("value", F.col("value").cast("decimal(18,2)"))
+    D.merge_days(stream, "ts", ["event_type"], "value", store, chk)
+    return D.merged_days(t.spark, store, ["event_type"], "value")
