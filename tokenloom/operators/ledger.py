@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import windows as W
 from ..functions.frames import stack
 from ..functions.scalar import ZERO, dbl, to_int
-from ..session import cut_lineage
 from .aggregates import label_list
 from .joins import scalar_join
 from .ordering import exact_quantile

@@ -25,14 +25,6 @@ def hourly_base(base: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return base.groupBy(*keys, F.date_trunc("hour", "minute").alias("hour")).agg(mean("price").alias("base_price"))
 
 
-def swap_ratio_v2(in0: str, out0: str, in1: str, out1: str) -> Column:
-    return safe_div(F.col(in1) + F.col(out1), F.col(in0) + F.col(out0))
-
-
-def swap_ratio_v3(amount0: str, amount1: str) -> Column:
-    return safe_div(F.abs(F.col(amount1)), F.abs(F.col(amount0)))
-
-
 def swap_price_feed(swaps: DataFrame, base: DataFrame, start: str, as_of: str) -> DataFrame:
     """Hourly mean swap ratio per product times the base price, gaps carried.
 
@@ -127,7 +119,7 @@ def trade_volatility(trades: DataFrame, tokens: DataFrame, bases: Sequence[str])
 
     ``tokens`` is the parsed parameter list, one row per token.
     """
-    rows = two_sided(trades, F.col("base").isin(*bases), ["day"]).join(F.broadcast(tokens.select("token").distinct()), "token", "left_semi")
+    rows = two_sided(trades, F.col("base").isin(*bases), ["day"]).join(tokens.select("token").distinct(), "token", "left_semi")
     px = safe_div("paid", "units")
     agg = rows.groupBy("token", "day").agg(
         F.count(F.lit(1)).alias("num_trades"), F.min(px).alias("min_price"), F.avg(px).alias("avg_price"),

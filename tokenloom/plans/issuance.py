@@ -12,8 +12,10 @@ from ..operators import ledger as L
 from ..operators import prices as P
 from ..operators import revenue as R
 from ..operators import timeseries as T
+from ..session import scratch_path
 from ..sources.canonical import EVENTS_AS_OF, EVENTS_START, ORDERS_AS_OF, ORDERS_START, Tables
 from ..sources.seeds import fees, products
+from ..streaming import balances as Z
 from .ledger import changes as holder_changes
 from .registry import define_view, report, rnd, sql
 
@@ -138,6 +140,20 @@ def _mint_sql(by: str) -> str:
     from g window w as ({"partition by symbol" if by else ""} order by day rows 7 preceding)""")
 
 
+@report("j04_unit_supply_incremental", sql("units", "select symbol, day, cast(units as double) as units from units"))
+def _(t):
+    """Supply kept as stored intervals: taken in by two steps, the days made from them."""
+    store, as_of = scratch_path(t.spark, "supply"), "1998-06-30"
+    moves = t.moves.groupBy(F.col("symbol").alias("token"), F.lit("").alias("holder"), "day").agg(F.sum(I.signed_amount()).alias("change"))
+    moves = moves.where(F.col("day") >= F.lit(ORDERS_START).cast("date"))
+    Z.create(t.spark, store)
+    Z.advance(moves, store, as_of)
+    Z.advance(moves, store, ORDERS_AS_OF)
+    known = T.expand_intervals(Z.intervals(t.spark, store), "day", "next_day", "day").select(F.col("token").alias("symbol"), "day", F.col("balance").alias("units"))
+    grid = known.select("symbol").distinct().crossJoin(F.broadcast(T.spine(t.spark, ORDERS_START, ORDERS_AS_OF)))
+    return grid.join(known, ["symbol", "day"], "left").select("symbol", "day", F.coalesce("units", F.lit(0)).alias("units"))
+
+
 @report("j05_mint_volume", _mint_sql("symbol,"))
 def _(t):
     return I.mint_volume(events(t), ORDERS_START, ORDERS_AS_OF)

@@ -9,6 +9,7 @@ from ..operators import ledger as L
 from ..operators.timeseries import expand_intervals
 from ..session import scratch_path
 from ..sources.canonical import EVENTS_AS_OF, EVENTS_START, Tables
+from ..sources.sinks import write_bucketed
 from ..streaming import balances as Z
 from .registry import define_view, report, sql
 
@@ -75,6 +76,23 @@ def _(t):
     return expand_intervals(Z.intervals(t.spark, store), "day", "next_day", "day")
 
 
+def bucketed_changes(t: Tables):
+    """Daily changes stored by holder; the reports below share its layout and shuffle nothing by holder."""
+    return write_bucketed(changes(t), scratch_path(t.spark, "changes-by-holder"), ["holder"], 8)
+
+
+@report("i04_balance_daily_bucketed", DAILY)
+def _(t):
+    return L.balance_daily(bucketed_changes(t), EVENTS_AS_OF)
+
+
+@report("i09_multi_product_bucketed", sql("daily_bal", """
+    select day, products, count(*) as holders
+    from (select day, holder, count(distinct token) as products from daily_bal where balance > 0 group by all) group by all"""))
+def _(t):
+    return L.multi_product_holders(bucketed_changes(t), EVENTS_START, EVENTS_AS_OF)
+
+
 @report("i05_balance_daily_dense", DAILY)
 def _(t):
     return L.balance_daily_dense(changes(t), EVENTS_AS_OF)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket, safe_div, sqrt_price
 from ..functions.windows import running_sum
+from ..operators import bitmaps as M
 from ..operators import issuance as I
 from ..operators import ledger as L
 from ..operators import lending as D
@@ -13,6 +14,7 @@ from ..operators import liquidity as Q
 from ..operators import nav as N
 from ..operators import prices as P
 from ..operators.timeseries import closing, trend
+from ..session import scratch_path
 from ..sources.canonical import EVENTS_AS_OF, EVENTS_START, ORDERS_AS_OF, Tables, ratio4
 from ..sources.seeds import products
 from .issuance import _trend_sql, vwap_hours
@@ -183,6 +185,25 @@ def _(t):
     return Q.exposed_holders(exposure(t))
 
 
+def exposed_sets(t: Tables):
+    """Stored sets of exposed addresses per day."""
+    numbers, sets = scratch_path(t.spark, "exposed-numbers"), scratch_path(t.spark, "exposed-sets")
+    held = exposure(t).where("exposure > 0").select("day", "address")
+    M.number_members(held, "address").write.parquet(numbers)
+    M.bitmaps(held, ["day"], "address", t.spark.read.parquet(numbers)).write.parquet(sets)
+    return t.spark.read.parquet(sets)
+
+
+@report("l06_exposed_holders_stored", sql("expo", "select day, count(*) as holders from expo where exposure > 0 group by day"))
+def _(t):
+    return M.count_members(exposed_sets(t), ["day"])
+
+
+@report("l06_exposed_holders_weekly", sql("expo", "select cast(date_trunc('week', day) as date) as week, count(distinct address) as holders from expo where exposure > 0 group by 1"))
+def _(t):
+    return M.count_members(exposed_sets(t), [F.to_date(F.date_trunc("week", "day")).alias("week")])
+
+
 @report("l07_lp_wallet_summary", sql("v2exp v3exp latest_bal", """,
     p as (select address as holder, sum(amount0) filter (where day = date '2024-01-30') as v2_lp from v2exp group by 1),
     q as (select address as holder, 0.0 + sum(cast(amount as double)) filter (where day = date '2024-01-30') as v3_lp from v3exp group by 1),

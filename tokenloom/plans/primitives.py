@@ -356,6 +356,17 @@ def _(t):
     return T.expand_intervals(T.step_intervals(c, ["address"], "day", EVENTS_AS_OF), "day", "next_day", "day")
 
 
+@report("c09_interval_join", sql("ev event_days", """
+    , b as (select *, lead(day, 1, date '2024-02-01') over (partition by address order by day) as next_day from (select address, day, sum(value) as v from ev group by all))
+    select b.address, cast(b.v as double) as v, d.day from b join event_days d on b.day <= d.day and d.day < b.next_day"""))
+def _(t):
+    c = t.ev.groupBy("address", "day").agg(F.sum("value").alias("v"))
+    steps = T.step_intervals(c, ["address"], "day", EVENTS_AS_OF)
+    days = T.spine(t.spark, EVENTS_START, EVENTS_AS_OF)
+    out = J.interval_join(days, steps, [], ("day", "day"), ("day", "next_day"), closed=False)
+    return out.select(F.col("_r_address").alias("address"), F.col("_r_v").alias("v"), "day")
+
+
 @report("c10_scd_join", sql("prices fees", """
     select p.symbol, p.day, partner, streaming_fee from prices p left join fees f on f.symbol = p.symbol and p.day >= f.begin_date and p.day <= f.end_date"""))
 def _(t):

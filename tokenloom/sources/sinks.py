@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,19 @@ def cached_union(live: DataFrame, path: str, day: str, cut: str) -> DataFrame:
     return stack(past.where(F.col(day) < F.lit(cut).cast("date")), live.where(F.col(day) >= F.lit(cut).cast("date")))
 
 
+def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int, table: str | None = None) -> DataFrame:
+    """Store rows hashed by ``keys`` into buckets and sorted by them, as a table whose readers know it.
+
+    Grouping, windows and joins on the keys (or on more columns) of that table,
+    by any number of reports, need no shuffle. One file a bucket: use it for
+    rows already added up per key and day, so a busy key is no large bucket.
+    """
+    table = table or f"bucketed_{uuid.uuid4().hex}"
+    laid = df.repartition(buckets, *keys)
+    laid.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
