@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import codecs
 import os
-import re
 from collections.abc import Sequence
 from itertools import chain, repeat
 
@@ -24,10 +23,14 @@ from .bytewords import OTHER_BASE, runs_of, word_hashes
 from .common import bounds, slices, take_ranges
 
 WORD_FILE = "word_bpe_49k.json"
-STEP_BYTES = 1 << 20
+STEP_BYTES = 2 << 20
 CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
 _MARKS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # a-z and the letters of U+00C0 to U+00FF
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(_MARKS)] = True
+_AFTER_C3 = np.zeros(256, bool)
+_AFTER_C3[0x80:0xC0] = True
+_AFTER_C3[[0x97, 0xB7]] = False  # the signs of multiplication and division
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\x0b\x0c")] = True
 _LOWER = np.arange(256, dtype=np.uint8)  # A-Z in lower case, as the vocabulary has it
@@ -89,22 +92,24 @@ class WordCodec:
             self._add(keys, *self._ids([[t.id for t in tokenize(x)] for x in texts]))
 
     def _learn(self, words: list[bytes]) -> None:
-        stems = [w.rstrip(_MARKS) for w in words]
-        simple = [s.islower() if s.isalpha() else _LETTERS.fullmatch(s) is not None for s in stems]
-        new = list({s for s, ok in zip(stems, simple) if ok}.difference(self.index))
+        stem, simple = _stems(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        plain = [words[i] for i in np.flatnonzero(simple & (stem == size)).tolist()]
+        marked = np.flatnonzero(simple & (stem < size)).tolist()
+        both, cuts = [words[i] for i in marked], stem[marked].tolist()
+        first, second = [w[:k] for w, k in zip(both, cuts)], [b" " + w[k:] for w, k in zip(both, cuts)]  # no word holds a space
+        new = list({*plain, *first}.difference(self.index))
         self._model(new, new)
-        both = [(w, s, b" " + w[len(s) :]) for w, s, ok in zip(words, stems, simple) if ok and len(s) < len(w)]  # no word holds a space
-        marks = list({m for _, _, m in both}.difference(self.index))
+        marks = list(set(second).difference(self.index))
         self._model(marks, [m[1:] for m in marks])
         if both:
-            joined, first, second = zip(*both)
             codes = np.empty(2 * len(both), np.int64)
             codes[::2] = np.fromiter(map(self.index.__getitem__, first), np.int64, len(both))
             codes[1::2] = np.fromiter(map(self.index.__getitem__, second), np.int64, len(both))
             self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
             each = self.lens[codes]
-            self._add(joined, take_ranges(self.flat, self.starts[codes], each), each[::2] + each[1::2])
-        other = [w for w, ok in zip(words, simple) if not ok]
+            self._add(both, take_ranges(self.flat, self.starts[codes], each), each[::2] + each[1::2])
+        other = [words[i] for i in np.flatnonzero(~simple).tolist()]
         if other:
             self._add(other, *self._ids([e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]))
 
@@ -152,6 +157,22 @@ class WordCodec:
         return np.concatenate(flats), np.concatenate(lens)
 
 
+def _stems(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each word without the marks behind it, and whether that part is letters only."""
+    raw = np.frombuffer(b"\n".join(words) + b"\n", np.uint8)
+    starts = bounds(np.fromiter(map(len, words), np.int64, len(words)) + 1)[:-1]
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    at = np.where(_IS_MARK[raw] | (raw == 10), -1, np.arange(len(raw)))
+    stem = np.maximum(np.maximum.reduceat(at, starts) + 1 - starts, 0)
+    letter = (raw >= 97) & (raw <= 122)
+    lead = (raw[:-1] == 0xC3) & _AFTER_C3[raw[1:]]  # the letters of U+00C0 to U+00FF have two bytes
+    letter[:-1] |= lead
+    letter[1:] |= lead
+    odd = bounds(~letter)
+    return stem, (stem > 0) & (odd[starts + stem] == odd[starts])
+
+
 _CODECS: dict[bytes, WordCodec] = {}
 
 
