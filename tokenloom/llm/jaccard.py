@@ -68,7 +68,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """N-gram sets of texts; keeps the word hashes of tokens it has met."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, words: int = WORDS):
         self.words = words
@@ -89,7 +89,7 @@ class Shingler:
 
     def sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Sorted distinct n-gram hashes of each text."""
-        for a, b in slices(map(len, texts), 2 << 20):
+        for a, b in slices(map(len, texts), 1 << 20):
             tokens = [t.decode().lower().split() for t in texts[a:b]]
             flat = list(chain.from_iterable(tokens))
             new = sorted(set(flat).difference(self.index))
