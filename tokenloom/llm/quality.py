@@ -191,7 +191,9 @@ def marked(labels: DataFrame) -> DataFrame:
 
 def sample(featured: DataFrame, marks: DataFrame, labelled: int) -> tuple[list, np.ndarray, np.ndarray]:
     """Labelled documents, whether they are good, and which are held out."""
-    known = featured.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "row").limit(labelled).collect()
+    # written before it is collected: a collected limit sends its number of rows of every task to the driver
+    first = featured.join(marks, "doc_id").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "row").limit(labelled)
+    known = sorted(materialise(first, "labelled-sample").collect(), key=lambda r: (r["place"], r["row"]))
     y = np.array([float(r["y"] > 0) for r in known])
     held = np.arange(len(y)) % HELD_OUT == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
