@@ -106,6 +106,17 @@ def test_words_hash_alike_wherever_they_stand():
     assert a == a2 == a3 != b
 
 
+def test_hash_tables_are_as_long_as_a_step(monkeypatch):
+    monkeypatch.setattr(bytewords, "_POWERS", {})
+    buf = np.frombuffer((b"some words " * 200_000), np.uint8)
+    starts, ends = bytewords.runs_of(buf != 32)
+    assert len(set(bytewords.word_hashes(buf, starts, ends).tolist())) == 2
+    assert bytewords._POWERS[bytewords.BASE].shape[1] <= 1 << 16
+    long = np.frombuffer(b"a " + b"xy" * 50_000 + b" a " + b"xy" * 50_000, np.uint8)  # longer than a step
+    a, x, a2, x2 = bytewords.word_hashes(long, *bytewords.runs_of(long != 32))
+    assert a == a2 != x == x2
+
+
 def test_hashes_do_not_depend_on_windows(monkeypatch):
     rng = np.random.default_rng(1)
     buf = rng.choice(np.frombuffer(b"abc  ", np.uint8), 5000)

@@ -40,6 +40,25 @@ def test_word_codec_cache_is_bounded(monkeypatch):
     assert coder.encode([b"one1 two1 one1 ABC, \xc3\x89t\xc3\xa9. <|endoftext|> <|END|>"])[0].tolist() == word_ids("one1 two1 one1 ABC, Été. <|endoftext|> <|END|>")
 
 
+def test_words_with_marks_are_kept_once():
+    coder = wordcodec.WordCodec(wordcodec.tokenizer_file())
+    marks = [".", ",", "!?", "...", "-", "<|"]
+    texts = [f"{w}{m} {m} {w}" for w in ("alpha", "Été", "beta", "x") for m in marks]
+    ids, lens = coder.encode([t.encode() for t in texts])
+    cuts = common.bounds(lens).tolist()
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [word_ids(t) for t in texts]
+    assert len(coder.index) == 4 + len(marks) + len(marks)  # letters, marks behind them, words of marks
+
+
+def test_word_codec_with_equal_hashes(monkeypatch):
+    real = wordcodec.word_hashes
+    monkeypatch.setattr(wordcodec, "word_hashes", lambda low, starts, ends, *base: real(low, starts, ends, *base) if base else np.zeros(len(starts), np.uint64))
+    texts = ["one, two. Two one! , .", "", "né, a1 a1, NÉ ."]
+    ids, lens = wordcodec.WordCodec(wordcodec.tokenizer_file()).encode([t.encode() for t in texts])
+    cuts = common.bounds(lens).tolist()
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [word_ids(t) for t in texts]
+
+
 @settings(max_examples=600, deadline=None)
 @given(TEXT)
 def test_cutter_equals_the_pattern(text):

@@ -8,7 +8,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 
-WINDOW = 1 << 20
+WINDOW, STEP = 1 << 20, 1 << 16  # longest word by a polynomial; bytes at a time
 BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -49,7 +49,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 def _windows(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
     a = 0
     while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + WINDOW, side="right")))
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + min(STEP, WINDOW), side="right")))
         yield a, b
         a = b
 
@@ -62,7 +62,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
         if hi - lo > WINDOW:
             out[a] = int.from_bytes(blake2b(buf[lo:hi].tobytes(), digest_size=8).digest(), "little")
             continue
-        power, inverse = _powers(base, WINDOW)
+        power, inverse = _powers(base, max(min(STEP, WINDOW), hi - lo))
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * power[: hi - lo], out=sums[1:])
         s = starts[a:b] - lo

@@ -5,8 +5,9 @@ words, so a text has the ids of its white-space separated words in order. Words
 are told apart by two 64-bit hashes, taken in numpy for a whole step; each
 distinct word is encoded once and kept in a bounded cache of the worker, which
 forgets the words it met only once when it is full. Latin letters with marks
-behind them are two entries of the library's BPE model, each kept by itself, so
-a known word with another mark is put together from the cache. Every other word
+behind them are two entries of the library's BPE model, so such words are cut
+before they are told apart: letters and marks are units of their own, and a
+known word with another mark is not a new one. Every other word is one unit and
 goes through the library's whole pipeline.
 """
 
@@ -23,8 +24,10 @@ from .bytewords import OTHER_BASE, runs_of, word_hashes
 from .common import bounds, slices, take_ranges
 
 WORD_FILE = "word_bpe_49k.json"
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
+OTHER, LETTERS, MARKS = 0, 1, 2
+_MARKED = np.uint64(0x9FB21C651E98DF25)
 _MARKS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 _IS_MARK = np.zeros(256, bool)
 _IS_MARK[list(_MARKS)] = True
@@ -91,30 +94,15 @@ class WordCodec:
             texts = codecs.charmap_decode(text, "strict", _CHARS)[0].split(_CHARS[10])
             self._add(keys, *self._ids([[t.id for t in tokenize(x)] for x in texts]))
 
-    def _learn(self, words: list[bytes]) -> None:
-        stem, simple = _stems(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        plain = [words[i] for i in np.flatnonzero(simple & (stem == size)).tolist()]
-        marked = np.flatnonzero(simple & (stem < size)).tolist()
-        both, cuts = [words[i] for i in marked], stem[marked].tolist()
-        first, second = [w[:k] for w, k in zip(both, cuts)], [b" " + w[k:] for w, k in zip(both, cuts)]  # no word holds a space
-        new = list({*plain, *first}.difference(self.index))
-        self._model(new, new)
-        marks = list(set(second).difference(self.index))
+    def _learn(self, units: list[bytes], kinds: np.ndarray) -> None:
+        letters, marks, other = ([units[i] for i in np.flatnonzero(kinds == k).tolist()] for k in (LETTERS, MARKS, OTHER))
+        self._model(letters, letters)
         self._model(marks, [m[1:] for m in marks])
-        if both:
-            codes = np.empty(2 * len(both), np.int64)
-            codes[::2] = np.fromiter(map(self.index.__getitem__, first), np.int64, len(both))
-            codes[1::2] = np.fromiter(map(self.index.__getitem__, second), np.int64, len(both))
-            self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
-            each = self.lens[codes]
-            self._add(both, take_ranges(self.flat, self.starts[codes], each), each[::2] + each[1::2])
-        other = [words[i] for i in np.flatnonzero(~simple).tolist()]
         if other:
             self._add(other, *self._ids([e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]))
 
-    def _distinct(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The distinct words of some texts, which of them each word is, and how many words each text has."""
+    def _distinct(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct units of some texts, their kinds, which of them each unit is, and how many units each text has."""
         joined = b"\n".join(texts) + b"\n"
         raw, cuts = np.frombuffer(joined, np.uint8), bounds(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         low = _LOWER[raw]
@@ -122,34 +110,35 @@ class WordCodec:
             for i, text in enumerate(texts):
                 if b"<|" in text:
                     low[cuts[i] : cuts[i + 1]] = raw[cuts[i] : cuts[i + 1]]
-        starts, ends = runs_of(~_BLANK[low])
+        starts, ends, kinds = _units(low)
         many = np.diff(np.searchsorted(starts, cuts))
-        _, first, which = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        marks = np.where(kinds == MARKS, _MARKED, np.uint64(0))  # other hashes than those of words of marks alone
+        _, first, which = np.unique(word_hashes(low, starts, ends) ^ marks, return_index=True, return_inverse=True)
         data = low.tobytes()
-        other = word_hashes(low, starts, ends, OTHER_BASE)
-        if not (other == other[first][which]).all():  # two words with one hash: take them by their bytes
-            words = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-            index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-            return list(index), np.fromiter(map(index.__getitem__, words), np.int64, len(words)), many
-        return [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], which, many
+        other = word_hashes(low, starts, ends, OTHER_BASE) ^ marks
+        if not (other == other[first][which]).all():  # two units with one hash: take them by their bytes
+            index: dict[bytes, int] = {}
+            which = np.array([index.setdefault(u, len(index)) for u in _named(data, starts, ends, kinds)], np.int64)
+            first = np.unique(which, return_index=True)[1]
+        return _named(data, starts[first], ends[first], kinds[first]), kinds[first], which, many
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
         flats, lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for a, b in slices(map(len, texts), STEP_BYTES):
-            words, which, many = self._distinct(texts[a:b])
-            codes = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+            units, kinds, which, many = self._distinct(texts[a:b])
+            codes = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, len(units))
             missed = np.flatnonzero(codes < 0)
             if len(missed):
-                new = list(map(words.__getitem__, missed.tolist()))
+                new = list(map(units.__getitem__, missed.tolist()))
                 if len(self.index) + len(new) > CACHE_WORDS or sum(map(len, new)) > CACHE_BYTES:
                     self._forget()
-                    self._learn(list(set(words).difference(self.index)))
-                    codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-                else:
-                    self._learn(new)
-                    codes[missed] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-            self.hits[codes] += np.bincount(which, minlength=len(words)).astype(np.int32)
+                    codes = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, len(units))
+                    missed = np.flatnonzero(codes < 0)
+                    new = list(map(units.__getitem__, missed.tolist()))
+                self._learn(new, kinds[missed])
+                codes[missed] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+            self.hits[codes] += np.bincount(which, minlength=len(units)).astype(np.int32)
             codes = codes[which]
             each = self.lens[codes]
             flats.append(take_ranges(self.flat, self.starts[codes], each))
@@ -157,20 +146,30 @@ class WordCodec:
         return np.concatenate(flats), np.concatenate(lens)
 
 
-def _stems(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Length of each word without the marks behind it, and whether that part is letters only."""
-    raw = np.frombuffer(b"\n".join(words) + b"\n", np.uint8)
-    starts = bounds(np.fromiter(map(len, words), np.int64, len(words)) + 1)[:-1]
-    if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    at = np.where(_IS_MARK[raw] | (raw == 10), -1, np.arange(len(raw)))
-    stem = np.maximum(np.maximum.reduceat(at, starts) + 1 - starts, 0)
-    letter = (raw >= 97) & (raw <= 122)
-    lead = (raw[:-1] == 0xC3) & _AFTER_C3[raw[1:]]  # the letters of U+00C0 to U+00FF have two bytes
-    letter[:-1] |= lead
-    letter[1:] |= lead
-    odd = bounds(~letter)
-    return stem, (stem > 0) & (odd[starts + stem] == odd[starts])
+def _units(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and kind of every unit; white space follows the last one."""
+    inside, mark, letter = ~_BLANK[low], _IS_MARK[low], (low >= 97) & (low <= 122)
+    lead = np.flatnonzero(low[:-1] == 0xC3)
+    lead = lead[_AFTER_C3[low[lead + 1]]]  # the letters of U+00C0 to U+00FF have two bytes
+    letter[lead] = letter[lead + 1] = True
+    starts, ends = runs_of(inside)
+    odd = inside & ~letter & ~mark
+    odd[1:] |= letter[1:] & mark[:-1]
+    whole = np.zeros(len(starts), bool)  # words that are no letters with marks behind them
+    whole[np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1] = True
+    cut = np.flatnonzero(mark[1:] & letter[:-1]) + 1
+    owner = np.searchsorted(starts, cut, side="right") - 1
+    cut, owner = cut[~whole[owner]], owner[~whole[owner]]
+    kinds = np.where(letter[starts] & ~whole, LETTERS, OTHER)
+    return np.insert(starts, owner + 1, cut), np.insert(ends, owner, cut), np.insert(kinds, owner + 1, MARKS)
+
+
+def _named(data: bytes, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> list[bytes]:
+    """The bytes of units; marks cut off have a space in front, which no word holds."""
+    out = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    for i in np.flatnonzero(kinds == MARKS).tolist():
+        out[i] = b" " + out[i]
+    return out
 
 
 _CODECS: dict[bytes, WordCodec] = {}
