@@ -2,7 +2,7 @@ import corpus_pipeline
 from tests.llm.data import empty, frame, rows
 from tests.llm.test_jaccard import alike, grams
 from tests.llm.test_tokens import word_ids
-from tokenloom.llm import common, pii, quality
+from tokenloom.llm import common, dedup, jaccard, packing, pii, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -11,6 +11,29 @@ def test_stages_have_the_stated_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram jaccard join", "pii", "packing"]
 
 
+def python_steps(df):
+    """The most Python steps that one stage of a plan has; each keeps a worker a task."""
+    most = []
+
+    def below(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return below(node.executedPlan())
+        children = node.children()
+        n = max([below(children.apply(i)) for i in range(children.size())], default=0)
+        if "Exchange" in node.nodeName():
+            most.append(n)
+            return 0
+        return n + ("EvalPython" in node.nodeName() or "InArrow" in node.nodeName())
+
+    return max([below(df._jdf.queryExecution().executedPlan()), *most])
+
+
+def test_stages_run_one_python_step_at_a_time(spark):
+    docs, none = frame(spark), spark.createDataFrame([], "doc_id long, quality int")
+    plans = [quality.keep_good(docs, none), dedup.drop_copies(docs), jaccard.keep_one(docs), pii.redact(docs), packing.pack(docs)]
+    assert [python_steps(p) for p in plans] == [1, 1, 1, 1, 1]
+
+
 def rows_of(df):
     out = {r.doc_id: r for r in df.collect()}
     assert len(out) == df.count()

@@ -53,7 +53,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     small_batches(docs.sparkSession)
     sha, keep, maybe = fresh(docs, "text_sha", "keep_id", "maybe")
-    hashed = docs.withColumn(sha, text_sha("text"))
+    # written first: two Python steps in one stage keep two workers a task
+    hashed = materialise(docs.withColumn(sha, text_sha("text")), "dedup-hashed")
     marked = tested(hashed, sha, maybe, hits=2)
     suspects = marked.where(F.col(maybe))
     groups = materialise(suspects.groupBy(sha).agg(F.max("doc_id").alias(keep)), "dedup-keepers")

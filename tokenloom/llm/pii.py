@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, in_steps, materialise, small_batches, tidy
+from .common import as_bytes, fresh, in_steps, materialise, release_memory, small_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
@@ -270,6 +270,7 @@ def all_spans(text: pa.Array, added: pa.Array) -> pa.Array:
                 end = x["end"]
         out.append([dict(zip(("kind", "start", "end", "base"), s)) for s in sorted(spans)])
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+    release_memory()
     return pa.array(out, kind)
 
 
@@ -298,13 +299,15 @@ def masked(text: pa.Array, spans: pa.Array) -> pa.Array:
                 parts += [value[done : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
             done = s["end"]
         out.append("".join(parts) + value[done:])
+    release_memory()
     return pa.array(out, pa.string())
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by the name of its kind."""
     (spans,) = fresh(docs, "spans")
-    out = find_spans(docs, spans).withColumn("text", masked("text", spans))
+    # written first: two Python steps in one stage keep two workers a task
+    out = materialise(find_spans(docs, spans), "pii-spans").withColumn("text", masked("text", spans))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

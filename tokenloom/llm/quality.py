@@ -302,5 +302,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject."""
     _, rates, model = trained(docs, labels)
     a, b, s = fresh(docs, "text_view", "meta_view", "quality_score")
-    scored = with_views(docs, rates, a, b).withColumn(s, scorer(model)(a, b))
+    # written first: two Python steps in one stage keep two workers a task
+    scored = materialise(with_views(docs, rates, a, b), "views").withColumn(s, scorer(model)(a, b))
     return scored.where(F.col(s)["score"] >= REJECT).select(*docs.columns)
