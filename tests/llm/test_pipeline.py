@@ -1,8 +1,12 @@
+import random
+from pathlib import Path
+
 import corpus_pipeline
 from tests.llm.data import empty, frame, rows
 from tests.llm.test_jaccard import alike, grams
 from tests.llm.test_tokens import word_ids
 from tokenloom.llm import common, dedup, jaccard, packing, pii, quality
+from tokenloom.session import shared_dir
 
 SF = "/root/testdata/sf0.01"
 
@@ -111,3 +115,34 @@ def test_awkward_tables_pass_every_stage(spark):
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
         assert (pieces.count() > 0) == (docs.count() > 0)
     assert rows()
+
+
+def written(spark, make):
+    """Bytes that building and reading a result leaves in the shared folder."""
+
+    def size():
+        return sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    before = size()
+    make().write.format("noop").mode("overwrite").save()
+    return size() - before
+
+
+def test_stages_write_no_copy_of_the_texts(spark):
+    rng = random.Random(3)
+    # digits of random bytes are hardly compressible beyond the half
+    texts = [rng.randbytes(4000).hex() + f" a{i}@mail.example.com" for i in range(300)]
+    docs = frame(spark, [(i, t, "en", "s1", len(t), "k", i, "r") for i, t in enumerate([*texts, *texts[:30]])])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    copy = len(texts) * 4000
+    for make in (lambda: quality.keep_good(docs, labels), lambda: dedup.drop_copies(docs), lambda: pii.redact(docs)):
+        assert written(spark, make) < 0.25 * copy
+
+
+def test_labels_are_joined_once(spark):
+    docs = frame(spark)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    featured, _, model = quality.trained(docs, labels)
+    assert model is not None
+    assert {r.doc_id: r.y for r in featured.where("y is not null").collect()} == {r.doc_id: r.quality for r in labels.collect()}
+    assert featured.count() == len(rows())

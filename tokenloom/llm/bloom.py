@@ -101,17 +101,27 @@ def tested(df: DataFrame, column: str, name: str, hits: int = 1) -> DataFrame:
     return out
 
 
-def bloom(df: DataFrame, column: str, hits: int = 1, rows: int | None = None) -> Callable[[str], Column]:
-    """Condition on a digest column: true for every digest that at least ``hits`` rows of ``df`` have."""
+def membership(df: DataFrame, column: str, hits: int = 1, rows: int | None = None) -> Callable[[list[bytes]], np.ndarray]:
+    """Test for use inside tasks: true for every digest that at least ``hits`` rows of ``df`` have."""
     bits, name = filter_bits(df.count() if rows is None else rows), uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(bit_segments(df, column, bits, hits))
 
-    @F.arrow_udf("boolean")
-    def test(digest: pa.Array) -> pa.Array:
+    def maybe(digests: list[bytes]) -> np.ndarray:
         table = _table(name, shared.value)
-        p = probe_positions(digest.to_pylist(), bits)
+        p = probe_positions(digests, bits)
         hit = table[(p >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8)) & 1
-        return pa.array(hit.all(axis=1))
+        return hit.all(axis=1)
+
+    return maybe
+
+
+def bloom(df: DataFrame, column: str, hits: int = 1, rows: int | None = None) -> Callable[[str], Column]:
+    """``membership`` as a condition on a digest column."""
+    maybe = membership(df, column, hits, rows)
+
+    @F.arrow_udf("boolean")
+    def test(digest: pa.Array) -> pa.Array:
+        return pa.array(maybe(digest.to_pylist()))
 
     return test
 

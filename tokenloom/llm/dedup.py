@@ -5,6 +5,8 @@ each position that two or more rows hit. All positions of a repeated hash are
 marked, so the marks are a Bloom filter of the possibly repeated hashes without
 misses. Pass two tests every row: rows outside the filter are unique and pass
 straight through; only the others are shuffled and grouped on the full SHA-256.
+``drop_copies`` runs both passes on digests alone, so that no copy of the texts
+is written; a filter of the digests found repeated then splits the documents.
 
 The broadcast filter has a bounded size (see ``bloom``); a larger table is taken
 in rounds of hash ranges, so unique rows pass straight through at every size.
@@ -24,14 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bloom import tested
+from .bloom import membership, tested
 from .common import as_bytes, fresh, materialise, small_batches
 
 
+def digests(text: pa.Array) -> list[bytes]:
+    """SHA-256 of the text with A-Z in lower case (bytes.lower changes ASCII only)."""
+    return [hashlib.sha256(x.lower()).digest() for x in as_bytes(text)]
+
+
 @F.arrow_udf(T.BinaryType())
 def text_sha(text: pa.Array) -> pa.Array:
-    """SHA-256 of the text with A-Z in lower case (bytes.lower changes ASCII only)."""
-    return pa.array([hashlib.sha256(x.lower()).digest() for x in as_bytes(text)], pa.binary())
+    return pa.array(digests(text), pa.binary())
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
@@ -52,12 +58,21 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     small_batches(docs.sparkSession)
-    sha, keep, maybe = fresh(docs, "text_sha", "keep_id", "maybe")
-    # written first: two Python steps in one stage keep two workers a task
-    hashed = materialise(docs.withColumn(sha, text_sha("text")), "dedup-hashed")
-    marked = tested(hashed, sha, maybe, hits=2)
-    suspects = marked.where(F.col(maybe))
-    groups = materialise(suspects.groupBy(sha).agg(F.max("doc_id").alias(keep)), "dedup-keepers")
-    g = groups.withColumnRenamed(sha, f"{sha}_g")
-    chosen = suspects.join(g, (F.col(sha) == F.col(f"{sha}_g")) & F.col("doc_id").eqNullSafe(F.col(keep)), "left_semi").dropDuplicates([sha, "doc_id"])
-    return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(chosen.select(*docs.columns))
+    looked, kept = fresh(docs, "looked", "kept_row")
+    hashed = materialise(docs.select(text_sha("text").alias("sha")), "dedup-hashed")
+    counted = tested(hashed, "sha", "maybe", hits=2).where("maybe").groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialise(counted.where("n > 1").select("sha"), "dedup-repeated")
+    maybe = membership(repeated, "sha")
+
+    @F.arrow_udf("struct<sha binary, maybe boolean>")
+    def look(text: pa.Array) -> pa.Array:
+        found = digests(text)
+        return pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(maybe(found))], ["sha", "maybe"])
+
+    # the filter would be moved below a repeatable step, which then ran twice in one stage
+    marked = docs.withColumn(looked, look.asNondeterministic()("text"))
+    suspects = marked.where(F.col(looked)["maybe"])
+    # null ids are the smallest; a task sends one row of a text at most
+    largest = F.max_by(F.struct(*docs.columns), F.struct("doc_id")).alias(kept)
+    chosen = suspects.groupBy(F.col(looked)["sha"]).agg(largest).select(*[F.col(kept)[c].alias(c) for c in docs.columns])
+    return marked.where(~F.col(looked)["maybe"]).select(*docs.columns).unionByName(chosen)

@@ -258,58 +258,72 @@ def added_spans(docs: DataFrame) -> DataFrame:
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))
 
 
+def spans_of(text: str, added: list[dict] | None) -> list[tuple[int, int, int, bool]]:
+    """(kind, start, end, base) of the base spans and the added ones, in that order."""
+    spans, end = [(k, s, e, True) for k, s, e in base_spans(text)], 0
+    for x in sorted(added or (), key=lambda x: (x["start"], -x["end"])):
+        if x["end"] > end:  # not inside one that is there already
+            spans.append((x["kind"], x["start"], x["end"], False))
+            end = x["end"]
+    return sorted(spans)
+
+
 @F.arrow_udf(SPANS)
 def all_spans(text: pa.Array, added: pa.Array) -> pa.Array:
     out = []
     for raw, more in zip(as_bytes(text), added.to_pylist()):
-        spans = [(k, s, e, True) for k, s, e in base_spans(raw.decode())]
-        end = 0
-        for x in sorted(more or (), key=lambda x: (x["start"], -x["end"])):
-            if x["end"] > end:  # not inside one that is there already
-                spans.append((x["kind"], x["start"], x["end"], False))
-                end = x["end"]
-        out.append([dict(zip(("kind", "start", "end", "base"), s)) for s in sorted(spans)])
+        out.append([dict(zip(("kind", "start", "end", "base"), s)) for s in spans_of(raw.decode(), more)])
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
     release_memory()
     return pa.array(out, kind)
 
 
-def find_spans(docs: DataFrame, column: str = "spans") -> DataFrame:
-    """The documents with all their spans (offsets in code points, end exclusive)."""
+def with_added(docs: DataFrame, added: str) -> DataFrame:
+    """The documents with the spans that the method adds to their texts."""
     small_batches(docs.sparkSession)
-    key, added = fresh(docs, "text_key", "added")
+    (key,) = fresh(docs, "text_key")
     more = added_spans(docs).withColumnsRenamed({"text_key": key, "added": added})
     keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     keyed = keyed.withColumn(key, F.unhex(key))
-    return keyed.join(more, key, "left").withColumn(column, all_spans("text", added)).select(*docs.columns, column)
+    return keyed.join(more, key, "left").select(*docs.columns, added)
 
 
-@F.arrow_udf(T.StringType())
-def masked(text: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for value, found in zip(text.to_pylist(), spans.to_pylist()):
-        if not found:
-            out.append(value)
+def find_spans(docs: DataFrame, column: str = "spans") -> DataFrame:
+    """The documents with all their spans (offsets in code points, end exclusive)."""
+    (added,) = fresh(docs, "added")
+    return with_added(docs, added).withColumn(column, all_spans("text", added)).select(*docs.columns, column)
+
+
+def masked(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
+    parts, done = [], 0
+    for kind, start, end, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if end <= done:
             continue
-        parts, done = [], 0
-        for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-            if s["end"] <= done:
-                continue
-            if s["start"] >= done:
-                parts += [value[done : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
-            done = s["end"]
-        out.append("".join(parts) + value[done:])
+        if start >= done:
+            parts += [text[done:start], f"<{KINDS[kind].upper()}>"]
+        done = end
+    return "".join(parts) + text[done:]
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("hit", T.BooleanType())]))
+def redacted(text: pa.Array, added: pa.Array) -> pa.Array:
+    """The text with its spans masked, and whether it has any."""
+    out, hits = [], []
+    for value, more in zip(text.to_pylist(), added.to_pylist()):
+        spans = spans_of(value or "", more)
+        out.append(masked(value, spans) if spans else value)
+        hits.append(bool(spans))
     release_memory()
-    return pa.array(out, pa.string())
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(hits, pa.bool_())], ["text", "hit"])
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by the name of its kind."""
-    (spans,) = fresh(docs, "spans")
-    # written first: two Python steps in one stage keep two workers a task
-    out = materialise(find_spans(docs, spans), "pii-spans").withColumn("text", masked("text", spans))
+    added, done = fresh(docs, "added", "redacted")
+    # spans and masks in one Python step: no copy of the texts is written
+    out = with_added(docs, added).withColumn(done, redacted("text", added)).withColumn("text", F.col(done)["text"])
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(done)["hit"], F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -73,28 +73,28 @@ def text_view(text: pa.Array) -> pa.Array:
 NAMES = ("lang", "source")
 
 
-def with_views(docs: DataFrame, rates: dict[str, DataFrame], a: str, b: str) -> DataFrame:
-    """The documents with the features of both views."""
+def with_meta(docs: DataFrame, rates: dict[str, DataFrame], b: str) -> DataFrame:
+    """The documents with the features of the metadata view."""
     meta = [F.log1p(F.greatest(F.lit(0), F.coalesce(F.col("n_chars").cast("long"), F.lit(0))).cast("double")), F.col("n_chars").isNull().cast("double")]
-    out = docs.withColumn(a, text_view("text")) if "text" in docs.columns else docs
+    out = docs
     for name, rate in rates.items():
         value, odds = fresh(out, f"{name}_value", f"{name}_odds")
         out = out.join(rate.select(F.col("value").alias(value), F.col("odds").alias(odds)), F.col(name).cast("string").eqNullSafe(F.col(value)), "left")
         meta += [F.coalesce(F.col(odds), F.lit(0.0)), F.col(name).isNull().cast("double")]
-    return out.select(*docs.columns, *[a] * (a not in docs.columns), F.array(*meta).alias(b))
+    return out.select(*docs.columns, F.array(*meta).alias(b))
 
 
 def name_rates(base: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[str, DataFrame]:
     """value and odds (log-odds beyond the overall ones) of each language and each source."""
-    marks = marked(labels)
-    known, y, held = sample(base, marks, labelled)
-    kept = base.join(base.sparkSession.createDataFrame([(r["row"],) for r, h in zip(known, held) if h], "row long"), "row", "left_anti")
-    told = kept.join(marks, "doc_id").select(*NAMES, (F.col("y") > 0).alias("good"), F.lit(True).alias("told"))
+    base = with_marks(base, labels)
+    known, y, held = sample(base, labelled)
+    kept = base.where("y is not null").join(base.sparkSession.createDataFrame([(r["row"],) for r, h in zip(known, held) if h], "row long"), "row", "left_anti")
+    told = kept.select(*NAMES, (F.col("y") > 0).alias("good"), F.lit(True).alias("told"))
     prior = 0.5
     if len(set(y.tolist())) == 2:
         prior, edge = float(y[~held].mean()), float(np.log(SURE / (1 - SURE)))
         text = Logistic(np.array([r["a"] for r in known])[~held], y[~held])
-        pool = base.join(marks, "doc_id", "left_anti").select("a", *NAMES, "n_chars").distinct().withColumn("logit", view_logit(text, widths()[0])("a"))
+        pool = base.where("y is null").select("a", *NAMES, "n_chars").distinct().withColumn("logit", view_logit(text, widths()[0])("a"))
         told = told.union(pool.where(F.abs("logit") >= edge).select(*NAMES, F.col("logit") > 0, F.lit(False)))
     told = materialise(told, "name-labels")
     n = {(r["told"], r["good"]): r["count"] for r in told.groupBy("told", "good").count().collect()}
@@ -177,6 +177,22 @@ def scorer(model: Combined | None):
     return score
 
 
+def text_scorer(model: Combined | None):
+    """``score`` of ``scorer`` from the text itself and the metadata view."""
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array, b: pa.Array) -> pa.Array:
+        if model is None:
+            return pa.array(np.full(len(text), 0.5))
+        out = [np.zeros(0)]
+        for at in range(0, len(text), 256):  # few texts are copied at a time
+            features = np.array([text_features(x) for x in as_bytes(text.slice(at, 256))])
+            out.append(model.scores([features, rows_of(b.slice(at, 256), widths()[1])])[2])
+        return pa.array(np.concatenate(out))
+
+    return score
+
+
 def view_logit(model: Logistic, width: int):
     @F.arrow_udf("double")
     def logit(column: pa.Array) -> pa.Array:
@@ -189,10 +205,15 @@ def marked(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
 
 
-def sample(featured: DataFrame, marks: DataFrame, labelled: int) -> tuple[list, np.ndarray, np.ndarray]:
+def with_marks(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with their label ``y``, null without one; rows that have theirs are not joined again."""
+    return rows if "y" in rows.columns else rows.join(marked(labels), "doc_id", "left")
+
+
+def sample(featured: DataFrame, labelled: int) -> tuple[list, np.ndarray, np.ndarray]:
     """Labelled documents, whether they are good, and which are held out."""
     # written before it is collected: a collected limit sends its number of rows of every task to the driver
-    first = featured.join(marks, "doc_id").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "row").limit(labelled)
+    first = featured.where("y is not null").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "row").limit(labelled)
     known = sorted(materialise(first, "labelled-sample").collect(), key=lambda r: (r["place"], r["row"]))
     y = np.array([float(r["y"] > 0) for r in known])
     held = np.arange(len(y)) % HELD_OUT == 0
@@ -267,13 +288,13 @@ def taught(models: list[Logistic], train: list[tuple[np.ndarray, np.ndarray]], p
 
 def fit(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int = LABELLED) -> Combined | None:
     """Co-train on a written frame (doc_id, row, a, b) of all documents' features."""
-    marks = marked(labels)
-    known, y, held = sample(featured, marks, labelled)
+    featured = with_marks(featured, labels)
+    known, y, held = sample(featured, labelled)
     if len(set(y.tolist())) < 2:
         return None
     xs = [np.array([r[c] for r in known]) for c in ("a", "b")]
     train = [(x[~held], y[~held]) for x in xs]
-    pool = materialise(featured.join(marks, "doc_id", "left_anti").select("a", "b").distinct(), "pool")
+    pool = materialise(featured.where("y is null").select("a", "b").distinct(), "pool")
     models = [Logistic(*t, s) for t, s in zip(train, spreads(pool, [t[0] for t in train]))]
     for _ in range(rounds):
         models = taught(models, train, pool)
@@ -286,9 +307,11 @@ def fit(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled:
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], Combined | None]:
     small_batches(docs.sparkSession)
     names = [F.col(n).cast("string").alias(n) for n in NAMES]
-    base = materialise(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_view("text").alias("a"), *names, F.col("n_chars").cast("long").alias("n_chars")), "text-features")
+    viewed = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_view("text").alias("a"), *names, F.col("n_chars").cast("long").alias("n_chars"))
+    # the labels are joined here only: later steps read them from the written frames
+    base = materialise(with_marks(viewed, labels), "text-features")
     rates = name_rates(base, labels)
-    featured = materialise(with_views(base, rates, "a", "b").select("doc_id", "row", "a", "b"), "features")
+    featured = materialise(with_meta(base, rates, "b").select("doc_id", "row", "a", "b", "y"), "features")
     return featured, rates, fit(featured, labels)
 
 
@@ -301,7 +324,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject."""
     _, rates, model = trained(docs, labels)
-    a, b, s = fresh(docs, "text_view", "meta_view", "quality_score")
-    # written first: two Python steps in one stage keep two workers a task
-    scored = materialise(with_views(docs, rates, a, b), "views").withColumn(s, scorer(model)(a, b))
-    return scored.where(F.col(s)["score"] >= REJECT).select(*docs.columns)
+    b, s = fresh(docs, "meta_view", "quality_score")
+    # features and score in one Python step: no copy of the texts is written
+    scored = with_meta(docs, rates, b).withColumn(s, text_scorer(model)("text", b))
+    return scored.where(F.col(s) >= REJECT).select(*docs.columns)
